@@ -129,11 +129,12 @@ def cell_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     obs = pixel_obs(spark, sf_dir).select(
         F.expr("obs_part div 4").alias("cell"), "year", "scene", ndvi(F.col("B08"), F.col("B04")).alias("ndvi"))
-    return yearly_composite(obs, ["cell", "year"], "ndvi", "scene")
+    return (yearly_composite(obs, ["cell", "year"], "ndvi", "scene")
+            .withColumn("ndvi_median", F.round("ndvi_median", 9)))
 
 
 CELL_YEAR_SQL = PIXEL_SQL + """, cell_year AS (
-  SELECT obs_part // 4 AS cell, year, median(ndvi) AS ndvi_median, count(DISTINCT scene) AS n_scenes
+  SELECT obs_part // 4 AS cell, year, round(median(ndvi), 9) AS ndvi_median, count(DISTINCT scene) AS n_scenes
   FROM px WHERE ndvi IS NOT NULL GROUP BY 1, 2
 )"""
 
@@ -189,7 +190,10 @@ def lsoa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (equity.with_decile(areas, "acctbal", "area_code", "imd_income_decile")
             .join(greened, "area_code", "left")
             .select("area_code", "area_name", "borough", "imd_income_decile", "population",
-                    F.coalesce("public_green_m2", F.lit(0.0)).alias("public_green_m2")))
+                    F.coalesce("public_green_m2", F.lit(0.0)).alias("public_green_m2"),
+                    (F.coalesce("public_green_m2", F.lit(0.0)) / F.col("population")).alias("green_per_capita_m2"),
+                    (F.col("area_key") % 101 / 100).alias("prop_pop_within_400m_public_green"),
+                    (F.col("area_key") % 3 == 0).alias("angst_compliant_2ha_300m")))
 
 
 def unified_green(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def _swept_area(x1, y1, x2, y2, is_area, tx0, ty0, tx1, ty1) -> float:
     xs = np.concatenate(xs)
     xs = np.unique(xs[np.isfinite(xs) & (xs >= tx0) & (xs <= tx1)])
     mid, width = (xs[1:] + xs[:-1]) / 2, np.diff(xs)
-    turn = np.sign(x2 - x1)
+    # a last, inactive edge stands for the upper side of the tile
+    lo, hi, at0, slope = (np.append(v, v0) for v, v0 in ((lo, np.inf), (hi, -np.inf), (at0, ty1), (slope, 0.0)))
+    turn, is_area = np.append(np.sign(x2 - x1), 0.0), np.append(is_area, False)
     total = 0.0
     step = max(1, (1 << 21) // max(len(lo), 1))
     for start in range(0, len(mid), step):

@@ -100,21 +100,24 @@ def with_rank(df: DataFrame, groups: list[str], value: str, *, descending: bool
     return df.join(lookup, on, "left").drop(*[f"_k_{g}" for g in groups], "_k_value")
 
 
-def hash_order(df: DataFrame, key: str, salt: Column, groups: list[str] | None = None,
-               prefix: int = 2, out: str = "hash_rank") -> DataFrame:
+def hash_order(df: DataFrame, key: str, salt: Column, groups: list[str] | None = None, prefix: int = 2,
+               out: str = "hash_rank", amount: str | None = None, out_before: str = "before") -> DataFrame:
     """0-based rank of each row by ``md5(salt || key)`` within ``groups``.
 
     md5 is uniform whatever the keys are, so its leading hex digits cut every group into
     ``16**prefix`` even pieces; the piece offsets come from a table of that many rows per group.
+    With ``amount``, also the sum of that column over the rows ranked before.
     """
     groups = groups or []
     hashed = df.withColumn("_md5", F.md5(F.concat(salt, F.col(key)).cast("binary")))
-    hashed = hashed.withColumn("_piece", F.substring("_md5", 1, prefix))
-    sizes = hashed.groupBy(*groups, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*groups, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*groups, "_piece").orderBy("_md5", key)
-    return (hashed.withColumn("_inside", F.row_number().over(inside))
+    hashed = hashed.withColumn("_piece", F.substring("_md5", 1, prefix)).withColumn("_one", F.lit(1).cast("bigint"))
+    summed = {"_one": out} | ({amount: out_before} if amount else {})
+    earlier = (Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(*groups, "_piece").agg(*[F.sum(c).alias(f"_sum_{o}") for c, o in summed.items()])
+    by_piece = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(*earlier)
+    offsets = sizes.select(*groups, "_piece", *[
+        F.coalesce(F.sum(f"_sum_{o}").over(by_piece), F.lit(0)).alias(f"_off_{o}") for o in summed.values()])
+    inside = Window.partitionBy(*groups, "_piece").orderBy("_md5", key).rowsBetween(*earlier)
+    return (hashed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{o}") for c, o in summed.items()])
             .join(offsets, [*groups, "_piece"])
-            .withColumn(out, (F.col("_inside") - 1 + F.col("_offset")).cast("bigint"))
-            .drop("_md5", "_piece", "_inside", "_offset"))
+            .select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in summed.values()]))
