@@ -203,3 +203,18 @@ def unified_green(spark: SparkSession, sf_dir: str) -> DataFrame:
     return green.unify(
         green.select_kinds(features.where("source = 'land_use'"), LAND_USE_KINDS, "land_use"),
         green.select_kinds(features.where("source = 'land_cover'"), LAND_COVER_KINDS, "land_cover"))
+
+
+def model_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas with the columns the model needs: real measures, and vegetation from the observations."""
+    from greenspark.functions.spectral import ndvi
+    from greenspark.operators import zonal
+    from greenspark.operators.features import area_measures
+
+    areas = area_measures(area(spark, sf_dir), 20000.0, 20000.0)
+    px = pixel_obs(spark, sf_dir).select("x", "y", ndvi(F.col("B08"), F.col("B04")).alias("ndvi"))
+    greenness = zonal.zonal_stats(zonal.pixels_in_areas(px, areas), "ndvi").select("area_code", F.col("mean").alias("mean_ndvi_late"))
+    return areas.join(greenness, "area_code", "left").select(
+        F.col("area_code").alias("MSOA21CD"), F.col("area_name").alias("MSOA21NM"), "population", "pop_density",
+        "dist_to_centre_km", (0.1 + (F.col("area_key") % 40) / 10).alias("dist_to_park_km"), "area_km2",
+        "mean_ndvi_late", "geom", "area_key")

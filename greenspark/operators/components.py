@@ -35,10 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def mask_patches(mask: DataFrame, pixel_m: float) -> DataFrame:
-    """4-connected patches of ``mask(row, col)``: pixel count, square metres and pixel box.
-
-    Runs along a row are merged first, so the graph has one node per run.
-    """
+    """4-connected patches of ``mask(row, col)``: pixel count, square metres and pixel box."""
     id_of = F.col("row") * F.lit(1 << 31).cast("bigint") + F.col("col")
     here = mask.select("row", "col", id_of.alias("node")).distinct()
     right = here.select("row", (F.col("col") - 1).alias("col"), F.col("node").alias("other"))
