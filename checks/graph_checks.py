@@ -104,7 +104,8 @@ FEATURE_COLS = ["mean_ndvi_late", "log_pop_density", "log_area_km2", "dist_to_ce
 
 def feature_table(spark, sf):
     return features.feature_frame(T.model_areas(spark, sf), None, 25832).select(
-        "MSOA21CD", "MSOA21NM", "borough", "is_inner", *[F.round(c, 8).alias(c) for c in FEATURE_COLS])
+        "MSOA21CD", "MSOA21NM", "borough", "is_inner", *[F.round(c, 8).alias(c) for c in FEATURE_COLS if c != "density_x_dist"],
+        F.round("density_x_dist", 4).alias("density_x_dist"))
 
 
 FEATURES_SQL = f"""
@@ -114,7 +115,7 @@ m AS (SELECT *, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) / 1e6 AS km2, sqrt(((x0 +
              0.1 + CAST(area_key % 40 AS DOUBLE) / 10 AS dp FROM area JOIN zn USING (area_code) WHERE mean_ndvi_late IS NOT NULL)
 SELECT area_code AS MSOA21CD, area_name AS MSOA21NM, borough, CAST((dc < 8)::INT AS BIGINT) AS is_inner, round(mean_ndvi_late, 8) AS mean_ndvi_late,
        round(ln(1 + population / km2), 8) AS log_pop_density, round(ln(1 + km2), 8) AS log_area_km2, round(dc, 8) AS dist_to_centre_km,
-       round(dp, 8) AS dist_to_park_km, round(dc * dc, 8) AS dist_centre_sq, round(population / km2 * dc, 8) AS density_x_dist, round(dp / sqrt(km2), 8) AS park_access
+       round(dp, 8) AS dist_to_park_km, round(dc * dc, 8) AS dist_centre_sq, round(population / km2 * dc, 4) AS density_x_dist, round(dp / sqrt(km2), 8) AS park_access
 FROM m"""
 
 
@@ -184,7 +185,7 @@ FROM c JOIN area ON cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1 GROUP BY 1"""
 
 def _axial_sql(x, y, res):
     s = hexgrid.EDGE_M[res]
-    return f"(sqrt(3::DOUBLE) / 3 * {x} - {y} / 3) / {s}::DOUBLE", f"(2 * {y} / 3) / {s}::DOUBLE"
+    return f"(sqrt(3::DOUBLE) / 3 * {x} - {y} / 3) / {s}::DOUBLE", f"(2::DOUBLE / 3 * {y}) / {s}::DOUBLE"
 
 
 def _rounded_sql(name, source, x, y, res):
@@ -192,7 +193,7 @@ def _rounded_sql(name, source, x, y, res):
     q, r = _axial_sql(x, y, res)
     return f"""
 {name}_a AS (SELECT *, {q} AS q, {r} AS r FROM {source}),
-{name}_b AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs, abs(round(q) - q) AS dq, abs(round(r) - r) AS dr, abs(round(-q - r) + q + r) AS ds FROM {name}_a),
+{name}_b AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs, abs(round(q) - q) AS dq, abs(round(r) - r) AS dr, abs(round(-q - r) - (-q - r)) AS ds FROM {name}_a),
 {name} AS (SELECT *, CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS hq,
                   CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS hr FROM {name}_b)"""
 
@@ -276,10 +277,11 @@ def crs_utm(spark, sf):
 # Redfearn's power series in the longitude difference, a derivation other than the one in the library.
 CRS_UTM_SQL = """
 WITH ll AS (SELECT s_suppkey, CAST((s_suppkey * 37) % 1000 AS DOUBLE) / 200 + 6.5 AS lon, CAST((s_suppkey * 53) % 1000 AS DOUBLE) / 100 + 45 AS lat FROM supplier),
-a AS (SELECT *, lat * pi() / 180 AS f, (lon - 9) * pi() / 180 AS l, 6378137::DOUBLE AS a, (1 / 298.257222101::DOUBLE) * (2 - 1 / 298.257222101::DOUBLE) AS e2 FROM ll),
+a AS (SELECT *, lat * pi() / 180 AS f, (lon - 9) * pi() / 180 AS l, 6378137::DOUBLE AS a, (1 / 298.257222101::DOUBLE) * (2 - 1 / 298.257222101::DOUBLE) AS e2,
+        1 / (2 * 298.257222101::DOUBLE - 1) AS n FROM ll),
 b AS (SELECT *, a / sqrt(1 - e2 * sin(f) ** 2) AS nu, a * (1 - e2) / (1 - e2 * sin(f) ** 2) ** 1.5 AS rho, tan(f) AS t,
-        a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * f - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * f)
-             + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * f) - 35 * e2 ** 3 / 3072 * sin(6 * f)) AS m FROM a),
+        a / (1 + n) * ((1 + n ** 2 / 4 + n ** 4 / 64) * f - 3 / 2.0 * (n - n ** 3 / 8) * sin(2 * f) + 15 / 16.0 * (n ** 2 - n ** 4 / 4) * sin(4 * f)
+             - 35 / 48.0::DOUBLE * n ** 3 * sin(6 * f) + 315 / 512.0 * n ** 4 * sin(8 * f)) AS m FROM a),
 c AS (SELECT *, nu / rho AS p, l * cos(f) AS w FROM b)
 SELECT s_suppkey, round(500000 + 0.9996 * nu * (w + w ** 3 / 6 * (p - t ** 2)
          + w ** 5 / 120 * (4 * p ** 3 * (1 - 6 * t ** 2) + p ** 2 * (1 + 8 * t ** 2) - 2 * p * t ** 2 + t ** 4)

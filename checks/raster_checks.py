@@ -83,7 +83,7 @@ MOSAIC_SQL = T.PIXEL_SQL + """, mosaic AS (
   SELECT "row", col, avg(B02) FILTER (WHERE B02 > 0) AS B02, avg(B03) FILTER (WHERE B03 > 0) AS B03,
          avg(B04) FILTER (WHERE B04 > 0) AS B04, avg(B08) FILTER (WHERE B08 > 0) AS B08
   FROM px GROUP BY 1, 2
-), mndvi AS (SELECT "row", col, CASE WHEN B08 + B04 > 0 THEN round((B08 - B04) / (B08 + B04), 9) END AS ndvi FROM mosaic)"""
+), mndvi AS (SELECT "row", col, CASE WHEN B08 + B04 > 0 THEN (B08 - B04) / (B08 + B04) END AS ndvi FROM mosaic)"""
 
 MOSAIC_MEAN_SQL = f"""
 WITH {MOSAIC_SQL}
@@ -91,7 +91,7 @@ SELECT "row", col, round(B02, 9) AS B02, round(B03, 9) AS B03, round(B04, 9) AS
 
 
 def mosaic_ndvi(spark, sf):
-    return mosaic(spark, sf).select("row", "col", F.round(_ndvi(), 9).alias("ndvi"))
+    return mosaic(spark, sf).select("row", "col", _ndvi().alias("ndvi"))
 
 
 def band_coverage(spark, sf):
@@ -238,24 +238,24 @@ WHERE a.ndvi IS NOT NULL AND b.ndvi IS NOT NULL GROUP BY 1, 2"""
 
 def pyramid(spark, sf):
     return raster.pyramid(mosaic_ndvi(spark, sf), "ndvi").select(
-        F.col("level").cast("bigint").alias("level"), "row", "col", F.round("ndvi", 11).alias("ndvi"), "n_pixels")
+        F.col("level").cast("bigint").alias("level"), "row", "col", F.round("ndvi", 9).alias("ndvi"), "n_pixels")
 
 
 PYRAMID_SQL = f"""
 WITH {MOSAIC_SQL}
-SELECT level, CAST(floor("row" / 2 ** level) AS BIGINT) AS "row", CAST(floor(col / 2 ** level) AS BIGINT) AS col, round(avg(ndvi), 11) AS ndvi, count(*) AS n_pixels
+SELECT level, CAST(floor("row" / 2 ** level) AS BIGINT) AS "row", CAST(floor(col / 2 ** level) AS BIGINT) AS col, round(avg(ndvi), 9) AS ndvi, count(*) AS n_pixels
 FROM mndvi, range(1, 7) t(level) WHERE ndvi IS NOT NULL GROUP BY 1, 2, 3"""
 
 
 def resample(spark, sf):
     return raster.resample(mosaic_ndvi(spark, sf), "ndvi", 500.0, 500.0, 100.0, 150.0).select(
-        "row", "col", F.round("ndvi", 11).alias("ndvi"), F.round("weight", 8).alias("weight"))
+        "row", "col", F.round("ndvi", 9).alias("ndvi"), F.round("weight", 8).alias("weight"))
 
 
 RESAMPLE_SQL = f"""
 WITH {MOSAIC_SQL},
 o AS (SELECT * FROM (VALUES (0, 0, 0.8::DOUBLE * 0.7), (0, 1, 0.2::DOUBLE * 0.7), (1, 0, 0.8::DOUBLE * 0.3), (1, 1, 0.2::DOUBLE * 0.3)) t(dr, dc, wt))
-SELECT "row" - dr AS "row", col - dc AS col, round(sum(wt * ndvi) / sum(wt), 11) AS ndvi, round(sum(wt), 8) AS weight
+SELECT "row" - dr AS "row", col - dc AS col, round(sum(wt * ndvi) / sum(wt), 9) AS ndvi, round(sum(wt), 8) AS weight
 FROM mndvi, o WHERE ndvi IS NOT NULL GROUP BY 1, 2"""
 
 

@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from greenspark.functions import geometry as G
 from greenspark.operators.green import LAND_COVER_KINDS, LAND_USE_KINDS
+from greenspark.sources.readers import spread
 
 EXTENT = 40000.0  # width of the mapped strip in metres
 
 
+USED_COLUMNS = {
+    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate"],
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table.select(*USED_COLUMNS[name])) if name in USED_COLUMNS else table
 
 
 def area(spark: SparkSession, sf_dir: str, shear: float = 0.0) -> DataFrame:

@@ -111,9 +111,9 @@ def centroid(geom: Column) -> Column:
 def contains_xy(edge_list: Column, px: Column, py: Column) -> Column:
     """Even-odd test with half-open edges: in a gap-free tiling a point falls in one area only."""
     def crosses(e):
-        upward = e["y2"] > e["y1"]
-        left_of = (px - e["x1"]) * (e["y2"] - e["y1"]) < (e["x2"] - e["x1"]) * (py - e["y1"])
-        return ((e["y1"] > py) != (e["y2"] > py)) & (left_of == upward)
+        lhs, rhs = (px - e["x1"]) * (e["y2"] - e["y1"]), (e["x2"] - e["x1"]) * (py - e["y1"])
+        strictly_left = F.when(e["y2"] > e["y1"], lhs < rhs).otherwise(lhs > rhs)
+        return ((e["y1"] > py) != (e["y2"] > py)) & strictly_left
     return F.size(F.filter(edge_list, crosses)) % 2 == 1
 
 

@@ -110,7 +110,8 @@ def _inside(pts: _Edges, poly: _Edges) -> np.ndarray:
     for ia, ib in _edge_pairs(pts, poly):
         px, py = pts.x1[ia], pts.y1[ia]
         y1, y2, x1, x2 = poly.y1[ib], poly.y2[ib], poly.x1[ib], poly.x2[ib]
-        hit = ((y1 > py) != (y2 > py)) & (((px - x1) * (y2 - y1) < (x2 - x1) * (py - y1)) == (y2 > y1))
+        lhs, rhs = (px - x1) * (y2 - y1), (x2 - x1) * (py - y1)
+        hit = ((y1 > py) != (y2 > py)) & np.where(y2 > y1, lhs < rhs, lhs > rhs)
         crossings += np.bincount(ia[hit], minlength=len(crossings))
     return crossings % 2 == 1
 
@@ -159,7 +160,11 @@ def _gap(a: _Edges, b: _Edges) -> np.ndarray:
             row = pts.row[ia]
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             best[row[first]] = np.minimum(best[row[first]], np.minimum.reduceat(dist, first))
-    best[_intersects(a, b)] = 0.0
+    boxes = a.box(), b.box()
+    overlap = np.ones(a.rows, dtype=bool)
+    for low, high in ((0, 2), (1, 3)):
+        overlap &= (boxes[0][high] >= boxes[1][low]) & (boxes[1][high] >= boxes[0][low])
+    best[_intersects(a.take(overlap[a.row]), b.take(overlap[b.row]))] = 0.0
     return best
 
 

@@ -48,7 +48,7 @@ def rank_table(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
               .agg(F.count(F.lit(1)).alias("n")))
-    running = cut(running_totals(counts, [*groups, value], "n", "_before"))
+    running = running_totals(counts, [*groups, value], "n", "_before")
     if groups:
         sizes = running.groupBy(*groups).agg(F.min("_before").alias("_first"), F.sum("n").alias("total"))
         same = [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]

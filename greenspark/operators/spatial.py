@@ -97,6 +97,7 @@ def within_distance_join(left: DataFrame, right: DataFrame, left_edges: str, rig
     """Pairs of polygons at most ``radius`` apart, with their distance."""
     grown = left.withColumn("_reach", grow(F.col(left_box), F.lit(float(radius))))
     return (box_join(grown, right, "_reach", right_box).drop("_reach")
+            .where(G.box_distance(F.col(left_box), F.col(right_box)) <= radius)
             .withColumn(out, K.gap(F.col(left_edges), F.col(right_edges)))
             .where(F.col(out) <= radius))
 

@@ -18,6 +18,12 @@ _POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType
 _GEOM = ArrayType(ArrayType(ArrayType(_POINT)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly row work enough tasks when the input is a few small files; large inputs pass unchanged."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def released_features(spark: SparkSession, root: str, release: str, theme: str, kind: str) -> DataFrame:
     """Feature Parquet of one pinned release; theme and type are partition folders and get pruned."""
     return (spark.read.option("basePath", f"{root}/{release}").parquet(f"{root}/{release}")
