@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, DoubleType
 BLOCK = 1 << 20  # edge pairs evaluated at once
 
 
-class _Edges:
+class EdgeLists:
     """Column view of one Arrow batch of edge lists."""
 
     def __init__(self, lists: pa.Array):
@@ -30,8 +30,8 @@ class _Edges:
         self.rows = len(lengths)
         self.valid = np.asarray(lists.is_valid())
 
-    def take(self, keep: np.ndarray) -> "_Edges":
-        out = object.__new__(_Edges)
+    def take(self, keep: np.ndarray) -> "EdgeLists":
+        out = object.__new__(EdgeLists)
         out.x1, out.y1, out.x2, out.y2 = self.x1[keep], self.y1[keep], self.x2[keep], self.y2[keep]
         out.row, out.rows, out.valid = self.row[keep], self.rows, self.valid
         out.offsets = np.concatenate([[0], np.cumsum(np.bincount(out.row, minlength=self.rows))])
@@ -49,7 +49,7 @@ class _Edges:
         return lo_x, lo_y, hi_x, hi_y
 
 
-def _edge_pairs(a: _Edges, b: _Edges):
+def _edge_pairs(a: EdgeLists, b: EdgeLists):
     """Yield index arrays (ia, ib) over all edge pairs that belong to the same row."""
     counts = np.diff(b.offsets)[a.row]
     ends = np.cumsum(counts)
@@ -66,11 +66,11 @@ def _edge_pairs(a: _Edges, b: _Edges):
         start = stop
 
 
-def _y_at(e: _Edges, i: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _y_at(e: EdgeLists, i: np.ndarray, x: np.ndarray) -> np.ndarray:
     return e.y1[i] + (e.y2[i] - e.y1[i]) * ((x - e.x1[i]) / (e.x2[i] - e.x1[i]))
 
 
-def _overlap(a: _Edges, b: _Edges) -> np.ndarray:
+def _overlap(a: EdgeLists, b: EdgeLists) -> np.ndarray:
     """Area of A and B.
 
     A region with oriented rings is the signed sum of the strips below its edges, so the area
@@ -104,7 +104,7 @@ def _overlap(a: _Edges, b: _Edges) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
-def _inside(pts: _Edges, poly: _Edges) -> np.ndarray:
+def _inside(pts: EdgeLists, poly: EdgeLists) -> np.ndarray:
     """For each start vertex of ``pts``: is it inside ``poly`` of the same row?"""
     crossings = np.zeros(len(pts.x1), dtype=np.int64)
     for ia, ib in _edge_pairs(pts, poly):
@@ -116,7 +116,7 @@ def _inside(pts: _Edges, poly: _Edges) -> np.ndarray:
     return crossings % 2 == 1
 
 
-def _boundaries_meet(a: _Edges, b: _Edges) -> np.ndarray:
+def _boundaries_meet(a: EdgeLists, b: EdgeLists) -> np.ndarray:
     """Do the boundaries share at least one point? Closed test, collinear overlap included."""
     out = np.zeros(a.rows, dtype=bool)
     boxes = a.box(), b.box()
@@ -139,7 +139,7 @@ def _boundaries_meet(a: _Edges, b: _Edges) -> np.ndarray:
     return out
 
 
-def _intersects(a: _Edges, b: _Edges) -> np.ndarray:
+def _intersects(a: EdgeLists, b: EdgeLists) -> np.ndarray:
     out = _boundaries_meet(a, b)
     for pts, poly in ((a, b), (b, a)):
         open_rows = ~out[pts.row]
@@ -148,7 +148,7 @@ def _intersects(a: _Edges, b: _Edges) -> np.ndarray:
     return out
 
 
-def _gap(a: _Edges, b: _Edges) -> np.ndarray:
+def _gap(a: EdgeLists, b: EdgeLists) -> np.ndarray:
     """Smallest distance between two polygons; 0 when they share a point."""
     best = np.full(a.rows, np.inf)
     for pts, segs in ((a, b), (b, a)):
@@ -168,39 +168,39 @@ def _gap(a: _Edges, b: _Edges) -> np.ndarray:
     return best
 
 
-def _result(values: np.ndarray, a: _Edges, b: _Edges, kind: pa.DataType) -> pa.Array:
+def _result(values: np.ndarray, a: EdgeLists, b: EdgeLists, kind: pa.DataType) -> pa.Array:
     empty = ~(a.valid & b.valid) | (np.diff(a.offsets) == 0) | (np.diff(b.offsets) == 0)
     return pa.array(values, type=kind, mask=empty)
 
 
 @F.arrow_udf(DoubleType())
 def overlap_area(left: pa.Array, right: pa.Array) -> pa.Array:
-    a, b = _Edges(left), _Edges(right)
+    a, b = EdgeLists(left), EdgeLists(right)
     return _result(_overlap(a, b), a, b, pa.float64())
 
 
 @F.arrow_udf(BooleanType())
 def intersects(left: pa.Array, right: pa.Array) -> pa.Array:
-    a, b = _Edges(left), _Edges(right)
+    a, b = EdgeLists(left), EdgeLists(right)
     return _result(_intersects(a, b), a, b, pa.bool_())
 
 
 @F.arrow_udf(BooleanType())
 def boundaries_meet(left: pa.Array, right: pa.Array) -> pa.Array:
-    a, b = _Edges(left), _Edges(right)
+    a, b = EdgeLists(left), EdgeLists(right)
     return _result(_boundaries_meet(a, b), a, b, pa.bool_())
 
 
 @F.arrow_udf(DoubleType())
 def gap(left: pa.Array, right: pa.Array) -> pa.Array:
-    a, b = _Edges(left), _Edges(right)
+    a, b = EdgeLists(left), EdgeLists(right)
     return _result(_gap(a, b), a, b, pa.float64())
 
 
 @F.arrow_udf(BooleanType())
 def touches(left: pa.Array, right: pa.Array) -> pa.Array:
     """Boundaries meet while the interiors share no area (relative to the smaller polygon)."""
-    a, b = _Edges(left), _Edges(right)
+    a, b = EdgeLists(left), EdgeLists(right)
     meet = _boundaries_meet(a, b)
     shared = _overlap(a, b)
 
@@ -208,3 +208,21 @@ def touches(left: pa.Array, right: pa.Array) -> pa.Array:
         return np.abs(np.bincount(e.row, weights=(e.x1 - e.x2) * (e.y1 + e.y2) / 2, minlength=e.rows))
 
     return _result(meet & (shared <= 1e-9 * np.minimum(size(a), size(b))), a, b, pa.bool_())
+
+
+@F.arrow_udf(BooleanType())
+def is_simple(edges: pa.Array) -> pa.Array:
+    """False when two edges of a geometry cross properly, as in a figure of eight."""
+    e = EdgeLists(edges)
+    crossed = np.zeros(e.rows, dtype=bool)
+    for ia, ib in _edge_pairs(e, e):
+        half = ia < ib
+        ia, ib = ia[half], ib[half]
+
+        def side(k, x, y):
+            return np.sign((e.x2[k] - e.x1[k]) * (y - e.y1[k]) - (e.y2[k] - e.y1[k]) * (x - e.x1[k]))
+
+        hit = ((side(ia, e.x1[ib], e.y1[ib]) * side(ia, e.x2[ib], e.y2[ib]) < 0)
+               & (side(ib, e.x1[ia], e.y1[ia]) * side(ib, e.x2[ia], e.y2[ia]) < 0))
+        crossed[e.row[ia[hit]]] = True
+    return _result(~crossed, e, e, pa.bool_())

@@ -1,8 +1,9 @@
 """Area of a union of overlapping polygons.
 
-Work is cut into (area, tile) pieces: exact copies are dropped, tile sizes follow the number of
-features per area, and a tile fully below one feature needs no sweep.  What is left in a tile
-is swept in slabs between its critical abscissae, where all edges are straight and uncrossed.
+Work is cut into (area, tile) pieces.  A feature enters a tile as its edges clipped to the tile,
+so features that look alike there are kept once, and a tile fully below one feature needs no
+sweep.  Crowded tiles are split again, each by its own number of features.  What is left in a
+tile is swept in slabs between its critical abscissae, where all edges are straight and uncrossed.
 """
 
 from __future__ import annotations
@@ -11,33 +12,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from greenspark.functions import geometry as G
 from greenspark.functions import kernels as K
+from greenspark.functions.kernels import EdgeLists
 from greenspark.operators import spatial
 from greenspark.operators.lineage import cut
 
 FEATURES_PER_TILE = 16
+CROWDED = 4 * FEATURES_PER_TILE
+MAX_SPLITS = 8
+_TILE = ["tx0", "ty0", "tx1", "ty1"]
 
 
-def _tile_edges(edges: Column) -> Column:
-    """Edges that can bound something inside the tile: in its x range and not above it."""
-    return F.filter(edges, lambda e: (F.greatest(e["x1"], e["x2"]) > F.col("tx0"))
-                    & (F.least(e["x1"], e["x2"]) < F.col("tx1")) & (F.least(e["y1"], e["y2"]) < F.col("ty1")))
+def _clip(edges: Column) -> Column:
+    """Edges cut to the x range of the tile.  Those above it are dropped, those below lie on its floor.
 
+    Vertical edges bound no ground and are dropped.  The order is made canonical for comparison.
+    """
+    def clamp(x):
+        return F.greatest(F.col("tx0"), F.least(F.col("tx1"), x))
+
+    def cut_edge(e):
+        slope = (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
+        xa, xb = clamp(e["x1"]), clamp(e["x2"])
+        ya, yb = e["y1"] + slope * (xa - e["x1"]), e["y1"] + slope * (xb - e["x1"])
+        low = F.greatest(ya, yb) <= F.col("ty0")
+        return F.struct(xa.alias("x1"), F.when(low, F.col("ty0")).otherwise(ya).alias("y1"),
+                        xb.alias("x2"), F.when(low, F.col("ty0")).otherwise(yb).alias("y2"))
+
+    near = F.filter(edges, lambda e: (e["x1"] != e["x2"]) & (F.greatest(e["x1"], e["x2"]) > F.col("tx0"))
+                    & (F.least(e["x1"], e["x2"]) < F.col("tx1")))
+    return F.array_sort(F.filter(F.transform(near, cut_edge), lambda e: F.least(e["y1"], e["y2"]) < F.col("ty1")))
 
-def _crosses_tile(edges: Column) -> Column:
-    """May some edge pass through the open tile? Box and side-of-line test, exact for segments."""
-    def hit(e):
-        near = ((F.greatest(e["x1"], e["x2"]) > F.col("tx0")) & (F.least(e["x1"], e["x2"]) < F.col("tx1"))
-                & (F.greatest(e["y1"], e["y2"]) > F.col("ty0")) & (F.least(e["y1"], e["y2"]) < F.col("ty1")))
 
-        def side(x, y):
-            return F.signum((e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) - (e["y2"] - e["y1"]) * (F.col(x) - e["x1"]))
+def _state(clipped: Column) -> Column:
+    """How a feature with these clipped edges lies in the tile: 'crosses', 'covers' or 'outside'."""
+    def bounds_inside(e):
+        def within(x):
+            return (x > F.col("tx0")) & (x < F.col("tx1"))
+        return (F.greatest(e["y1"], e["y2"]) > F.col("ty0")) | within(e["x1"]) | within(e["x2"])
 
-        total = F.abs(side("tx0", "ty0") + side("tx1", "ty0") + side("tx0", "ty1") + side("tx1", "ty1"))
-        return near & (total < 4)
-    return F.exists(edges, hit)
+    depth = F.aggregate(clipped, F.lit(0.0), lambda acc, e: acc + F.signum(e["x2"] - e["x1"]))
+    return F.when(F.exists(clipped, bounds_inside), "crosses").when(depth > 0, "covers").otherwise("outside")
 
 
 def _split(pieces: DataFrame, keys: list[str], per_tile: int) -> DataFrame:
@@ -53,13 +71,13 @@ def _split(pieces: DataFrame, keys: list[str], per_tile: int) -> DataFrame:
         b = F.greatest(F.lit(0), F.least(last, F.floor((high - F.col(origin)) / step).cast("int")))
         return F.sequence(a, b)
 
-    cut = (grid.withColumn("_i", F.explode(span(F.col("g_box.xmin"), F.col("g_box.xmax"), "tx0", w)))
-           .withColumn("_j", F.explode(span(F.col("g_box.ymin"), F.col("g_box.ymax"), "ty0", h))))
+    tiles = (grid.withColumn("_i", F.explode(span(F.col("g_box.xmin"), F.col("g_box.xmax"), "tx0", w)))
+             .withColumn("_j", F.explode(span(F.col("g_box.ymin"), F.col("g_box.ymax"), "ty0", h))))
     x0, y0 = F.col("tx0") + F.col("_i") * w, F.col("ty0") + F.col("_j") * h
     x1 = F.when(F.col("_i") == last, F.col("tx1")).otherwise(F.col("tx0") + (F.col("_i") + 1) * w)
     y1 = F.when(F.col("_j") == last, F.col("ty1")).otherwise(F.col("ty0") + (F.col("_j") + 1) * h)
-    kept = [c for c in pieces.columns if c not in ("tx0", "ty0", "tx1", "ty1")]
-    return cut.select(*kept, x0.alias("tx0"), y0.alias("ty0"), x1.alias("tx1"), y1.alias("ty1"))
+    kept = [c for c in pieces.columns if c not in _TILE]
+    return tiles.select(*kept, x0.alias("tx0"), y0.alias("ty0"), x1.alias("tx1"), y1.alias("ty1"))
 
 
 def _swept_area(x1, y1, x2, y2, is_area, tx0, ty0, tx1, ty1) -> float:
@@ -100,6 +118,21 @@ def _swept_area(x1, y1, x2, y2, is_area, tx0, ty0, tx1, ty1) -> float:
     return total
 
 
+@F.arrow_udf(DoubleType())
+def swept_area(area_edges: pa.Array, feature_edges: pa.Array, tx0: pa.Array, ty0: pa.Array, tx1: pa.Array,
+               ty1: pa.Array) -> pa.Array:
+    """Per tile: ground of the area polygon below at least one feature."""
+    a, g = EdgeLists(area_edges), EdgeLists(feature_edges)
+    bounds = np.column_stack([t.to_numpy(zero_copy_only=False) for t in (tx0, ty0, tx1, ty1)])
+    out = np.zeros(a.rows)
+    for i in range(a.rows):
+        mine, theirs = slice(a.offsets[i], a.offsets[i + 1]), slice(g.offsets[i], g.offsets[i + 1])
+        joined = [np.concatenate([getattr(a, c)[mine], getattr(g, c)[theirs]]) for c in ("x1", "y1", "x2", "y2")]
+        is_area = np.arange(len(joined[0])) < mine.stop - mine.start
+        out[i] = _swept_area(*joined, is_area, *bounds[i])
+    return pa.array(out)
+
+
 def union_area(areas: DataFrame, features: DataFrame, key: str, out: str) -> DataFrame:
     """Ground of each ``key`` below at least one feature.
 
@@ -107,40 +140,33 @@ def union_area(areas: DataFrame, features: DataFrame, key: str, out: str) -> Dat
     ``g_edges`` and ``g_box``.
     """
     shaped = spatial.part_shapes(areas, [key], "a_edges", "a_box")
-    pairs = cut(spatial.box_join(shaped, features.select("g_edges", "g_box"), "a_box", "g_box")
-                .dropDuplicates([key, "a_box", "g_edges"]))
-    tile = ["tx0", "ty0", "tx1", "ty1"]
-    pieces = pairs.select(key, "a_edges", "a_box", "g_edges", "g_box", F.col("a_box.xmin").alias("tx0"),
-                          F.col("a_box.ymin").alias("ty0"), F.col("a_box.xmax").alias("tx1"),
-                          F.col("a_box.ymax").alias("ty1"))
-    piece_key = [key, "a_box", *tile]
-    pieces = _split(pieces, piece_key, FEATURES_PER_TILE)
-    pieces = _split(pieces, piece_key, 4 * FEATURES_PER_TILE)  # again where an area is crowded in one spot
-    centre_in = G.contains_xy(F.col("g_edges"), (F.col("tx0") + F.col("tx1")) / 2, (F.col("ty0") + F.col("ty1")) / 2)
-    state = (F.when(_crosses_tile(F.col("g_edges")), "crosses").when(centre_in, "covers").otherwise("outside"))
-    pieces = cut(spatial.once(pieces, "_state", state).where(F.col("_state") != "outside"))
-
-    covered = pieces.where(F.col("_state") == "covers").groupBy(*piece_key).agg(F.first("a_edges").alias("a_edges"))
-    tile_ring = G.edges(G.rectangle(*[F.col(c) for c in tile]))
-    full = covered.select(key, K.overlap_area(F.col("a_edges"), tile_ring).alias("m2"))
-
-    open_tiles = pieces.where(F.col("_state") == "crosses").join(
-        covered.select(*piece_key), piece_key, "left_anti")
-    feature_edges = open_tiles.select(*piece_key, F.lit(False).alias("is_area"),
-                                      F.explode(_tile_edges(F.col("g_edges"))).alias("e"))
-    area_edges = (open_tiles.groupBy(*piece_key).agg(F.first("a_edges").alias("a_edges"))
-                  .select(*piece_key, F.lit(True).alias("is_area"),
-                          F.explode(_tile_edges(F.col("a_edges"))).alias("e")))
-    rows = feature_edges.unionByName(area_edges).select(key, *tile, "is_area", "e.*")
-
-    def sweep(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_numpy() for c in (*tile, "is_area", "x1", "y1", "x2", "y2")}
-        bounds = [float(cols[c][0]) for c in tile]
-        m2 = _swept_area(cols["x1"], cols["y1"], cols["x2"], cols["y2"], cols["is_area"].astype(bool), *bounds)
-        return pa.table({key: table.column(key).slice(0, 1).combine_chunks(), "m2": pa.array([m2])})
-
-    swept = rows.groupBy(key, *tile).applyInArrow(sweep, f"{key} string, m2 double")
-    return full.unionByName(swept).groupBy(key).agg(F.sum("m2").alias(out))
+    pairs = spatial.box_join(shaped, features.select("g_edges", "g_box"), "a_box", "g_box")
+    piece_key = [key, "a_box", *_TILE]
+    pieces = cut(pairs.select(key, "a_edges", "a_box", "g_edges", "g_box", F.col("a_box.xmin").alias("tx0"),
+                              F.col("a_box.ymin").alias("ty0"), F.col("a_box.xmax").alias("tx1"),
+                              F.col("a_box.ymax").alias("ty1")))
+    covered = None
+    for _ in range(MAX_SPLITS):
+        split = _split(pieces, piece_key, FEATURES_PER_TILE).withColumnRenamed("g_edges", "_whole")
+        local = spatial.once(spatial.once(split, "g_edges", _clip(F.col("_whole"))).drop("_whole"),
+                             "_state", _state(F.col("g_edges")))
+        placed = cut(local.where(F.col("_state") != "outside").dropDuplicates([*piece_key, "g_edges"]))
+        full = placed.where(F.col("_state") == "covers").groupBy(*piece_key).agg(F.first("a_edges").alias("a_edges"))
+        covered = full if covered is None else covered.unionByName(full)
+        open_pieces = placed.where(F.col("_state") == "crosses").drop("_state").join(
+            full.select(*piece_key), piece_key, "left_anti")
+        largest = open_pieces.groupBy(*piece_key).count().agg(F.max("count")).first()[0] or 0
+        pieces = open_pieces
+        if largest <= CROWDED:
+            break
+        pieces = cut(open_pieces)
+
+    tile_ring = G.edges(G.rectangle(*[F.col(c) for c in _TILE]))
+    full_ground = covered.select(key, K.overlap_area(F.col("a_edges"), tile_ring).alias("m2"))
+    # splitting has bounded what one tile gathers here
+    tiles = pieces.groupBy(*piece_key).agg(F.flatten(F.collect_list("g_edges")).alias("g"), F.first("a_edges").alias("a_edges"))
+    swept = tiles.select(key, swept_area(_clip(F.col("a_edges")), F.col("g"), *_TILE).alias("m2"))
+    return full_ground.unionByName(swept).groupBy(key).agg(F.sum("m2").alias(out))
 
 
 def box_union_area(boxes: DataFrame, keys: list[str], box: str, out: str) -> DataFrame:

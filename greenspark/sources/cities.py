@@ -72,10 +72,10 @@ def adapter(name: str):
     return keep
 
 
-def run_adapter(name: str, *args, **kwargs) -> DataFrame:
-    if name not in _ADAPTERS:
-        raise ValueError(f"no adapter named {name!r}; known: {sorted(_ADAPTERS)}")
-    return _ADAPTERS[name](*args, **kwargs)
+def run_adapter(adapter_name: str, /, *args, **kwargs) -> DataFrame:
+    if adapter_name not in _ADAPTERS:
+        raise ValueError(f"no adapter named {adapter_name!r}; known: {sorted(_ADAPTERS)}")
+    return _ADAPTERS[adapter_name](*args, **kwargs)
 
 
 @adapter("named_areas")
