@@ -80,8 +80,8 @@ def mosaic_mean(spark, sf):
 
 
 MOSAIC_SQL = T.PIXEL_SQL + """, mosaic AS (
-  SELECT "row", col, avg(B02) FILTER (WHERE B02 > 0) AS B02, avg(B03) FILTER (WHERE B03 > 0) AS B03,
-         avg(B04) FILTER (WHERE B04 > 0) AS B04, avg(B08) FILTER (WHERE B08 > 0) AS B08
+  SELECT "row", col, round(avg(B02) FILTER (WHERE B02 > 0), 12) AS B02, round(avg(B03) FILTER (WHERE B03 > 0), 12) AS B03,
+         round(avg(B04) FILTER (WHERE B04 > 0), 12) AS B04, round(avg(B08) FILTER (WHERE B08 > 0), 12) AS B08
   FROM px GROUP BY 1, 2
 ), mndvi AS (SELECT "row", col, CASE WHEN B08 + B04 > 0 THEN (B08 - B04) / (B08 + B04) END AS ndvi FROM mosaic)"""
 
@@ -153,8 +153,8 @@ def ndvi_delta(spark, sf):
 
 
 CHANGE_SQL = T.PIXEL_SQL + """, two AS (
-  SELECT "row", col, avg(B04) FILTER (WHERE year <= 1996) AS r0, avg(B08) FILTER (WHERE year <= 1996) AS n0,
-         avg(B04) FILTER (WHERE year >= 1997) AS r1, avg(B08) FILTER (WHERE year >= 1997) AS n1,
+  SELECT "row", col, round(avg(B04) FILTER (WHERE year <= 1996), 12) AS r0, round(avg(B08) FILTER (WHERE year <= 1996), 12) AS n0,
+         round(avg(B04) FILTER (WHERE year >= 1997), 12) AS r1, round(avg(B08) FILTER (WHERE year >= 1997), 12) AS n1,
          count(*) FILTER (WHERE year <= 1996) AS c0, count(*) FILTER (WHERE year >= 1997) AS c1
   FROM px GROUP BY 1, 2
 ), change AS (

@@ -24,8 +24,12 @@ def explode_tiles(tiles: DataFrame, value: str = "value") -> DataFrame:
 
 
 def mosaic_mean(obs: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    """Per pixel mean over scenes of the valid (positive) values of each band."""
-    return obs.groupBy(*keys).agg(*[F.avg(F.when(F.col(b) > 0, F.col(b))).alias(b) for b in bands])
+    """Per pixel mean over scenes of the valid (positive) values of each band.
+
+    Rounding to 12 decimals removes the dependence on the order of summation, so that a rerun
+    task, or another partitioning, gives the same pixel and later thresholds the same mask.
+    """
+    return obs.groupBy(*keys).agg(*[F.round(F.avg(F.when(F.col(b) > 0, F.col(b))), 12).alias(b) for b in bands])
 
 
 def band_coverage(obs: DataFrame, bands: list[str]) -> DataFrame:
