@@ -84,7 +84,12 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
 
 def with_rank(df: DataFrame, groups: list[str], value: str, *, descending: bool = False,
               rank: str | None = None, percent_rank: str | None = None, average_rank: str | None = None) -> DataFrame:
-    """Attach rank columns within groups by joining each row to its rank-table entry."""
+    """Attach rank columns within groups by joining each row to its rank-table entry.
+
+    The rows are pinned first: a mean that is computed again may differ in its last bit, and would
+    then miss its own entry.
+    """
+    df = cut(df)
     table = rank_table(df, groups, value)
     lower = F.col("total") - F.col("below") - F.col("n") if descending else F.col("below")
     cols = []
