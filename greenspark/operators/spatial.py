@@ -22,6 +22,7 @@ from greenspark.functions import kernels as K
 
 _CELL = ["_role", "_level", "_cx", "_cy"]
 _LEFT_VISITS, _RIGHT_VISITS = 0, 1
+BROADCAST_BYTES = 64 << 20
 
 
 def grow(box: Column, margin: Column) -> Column:
@@ -105,17 +106,24 @@ def within_distance_join(left: DataFrame, right: DataFrame, left_edges: str, rig
 def point_join(pts: DataFrame, polygons: DataFrame, x: str, y: str, edges: str, box: str) -> DataFrame:
     """Points with the polygons that contain them (half-open, see ``contains_xy``).
 
-    A point sits in one cell per level that occurs among the polygons, so no pair repeats.
+    A point sits in one cell per level that occurs among the polygons, so no pair repeats.  The
+    pass that looks up the levels also measures the polygons: their cells are broadcast when they
+    provably fit, otherwise both sides are shuffled by cell and popular cells are split there.
     """
     px, py, b = F.col(x), F.col(y), F.col(box)
-    levels = box_levels(polygons, box)
-    if not levels:
+    found = (polygons.where(b.isNotNull()).groupBy(_own_level(b).alias("l"))
+             .agg(F.sum(F.size(edges)).alias("edges"), F.count(F.lit(1)).alias("n")).collect())
+    if not found:
         return pts.join(polygons, F.lit(False))
+    levels = sorted(r.l for r in found)
+    # at most four cells per polygon, 32 bytes per edge, 512 for the row around them
+    fits = sum(4 * (32 * r.edges + 512 * r.n) for r in found) <= BROADCAST_BYTES
     side = F.pow(F.lit(2.0), F.col("_level"))
     placed = (pts.withColumn("_level", F.explode(F.array(*[F.lit(l) for l in levels])))
               .withColumn("_cx", F.floor(px / side)).withColumn("_cy", F.floor(py / side)))
     cells = _place(polygons, box, [(0, l) for l in levels], F.col("_level") == _own_level(b)).drop("_role")
-    return (placed.join(cells, _CELL[1:])
+    met = placed.join(F.broadcast(cells), _CELL[1:]) if fits else placed.hint("merge").join(cells, _CELL[1:])
+    return (met
             .where(px.between(b["xmin"], b["xmax"]) & py.between(b["ymin"], b["ymax"]))
             .where(G.contains_xy(F.col(edges), px, py))
             .drop(*_CELL))

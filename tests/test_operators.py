@@ -111,3 +111,23 @@ def test_colour_ramp_ends_and_missing(spark):
     rows = [tuple(r.c) for r in df.select(colour.ramp_rgba(F.col("v"), colour.RAMP_NDVI).alias("c")).collect()]
     assert rows[0] == (165, 0, 38, 200) and rows[1] == (26, 152, 80, 200) and rows[2] == (190, 24, 39, 200)
     assert rows[3] == rows[4] == (180, 180, 180, 60)
+
+
+def test_point_join_gives_the_same_rows_broadcast_and_shuffled(spark, monkeypatch):
+    from conftest import box_geom
+    from greenspark.functions import geometry as G
+    from greenspark.operators import spatial
+
+    rng = random.Random(4)
+    boxes = [(i, x, y, x + w, y + w) for i in range(40) for x, y, w in [(rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([1, 9, 70]))]]
+    pts = [(j, rng.uniform(-60, 120), rng.uniform(-60, 120)) if j % 3 else (j, 1.5, 2.5) for j in range(300)]  # one popular spot
+    areas = spark.createDataFrame([(i, box_geom(*b)) for i, *b in boxes], f"a int, geom {G.GEOM_TYPE}")
+    points = spark.createDataFrame(pts, "p int, x double, y double")
+    want = sorted((j, i) for j, x, y in pts for i, x0, y0, x1, y1 in boxes if x0 <= x < x1 and y0 <= y < y1)
+    shaped = spatial.part_shapes(areas, ["a"], "e", "b")
+    for limit in (spatial.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_BYTES", limit)
+        got = spatial.point_join(points, shaped, "x", "y", "e", "b")
+        assert sorted((r.p, r.a) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (limit == 0)
