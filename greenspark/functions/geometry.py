@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 GEOM_TYPE = "array<array<array<struct<x:double,y:double>>>>"
 EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+COMPILED_EDGES = 8
 BOX_TYPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 
 
@@ -114,7 +115,12 @@ def contains_xy(edge_list: Column, px: Column, py: Column) -> Column:
         lhs, rhs = (px - e["x1"]) * (e["y2"] - e["y1"]), (e["x2"] - e["x1"]) * (py - e["y1"])
         strictly_left = F.when(e["y2"] > e["y1"], lhs < rhs).otherwise(lhs > rhs)
         return ((e["y1"] > py) != (e["y2"] > py)) & strictly_left
-    return F.size(F.filter(edge_list, crosses)) % 2 == 1
+    # short rings, the usual case, are written out so that the test is compiled
+    few = F.lit(0)
+    for i in range(COMPILED_EDGES):
+        few = few + F.when(crosses(F.get(edge_list, F.lit(i))), 1).otherwise(0)
+    hits = F.when(F.size(edge_list) <= COMPILED_EDGES, few).otherwise(F.size(F.filter(edge_list, crosses)))
+    return hits % 2 == 1
 
 
 def distance_xy(edge_list: Column, px: Column, py: Column) -> Column:
