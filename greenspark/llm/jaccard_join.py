@@ -99,28 +99,35 @@ def _sketch(size: int):
     return rows
 
 
-def _prefixes(size: int, pct: int, common: np.ndarray):
-    """(node, n, token) of the prefix of every set, tokens in ``common`` last."""
+def _prefixes(size: int, pct: int, common: np.ndarray, changed_only: bool = False):
+    """(node, grp, n, token) of the prefix of every set, tokens in ``common`` last.
+
+    ``changed_only`` leaves out sets whose prefix has no token in ``common``.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(size)
         for batch in batches:
-            nodes, sizes, tokens = [], [], []
-            for node, text in zip(batch["node"], batch["text"], strict=True):
+            nodes, groups, sizes, tokens = [], [], [], []
+            for node, grp, text in pandas_rows([batch], "node", "grp", "text"):
                 t = shingler.tokens(text).view(np.int64)
                 if len(t) < 6:
                     continue
                 p = prefix_length(len(t), pct)
+                often = np.zeros(len(t), bool)
                 if len(common):
                     at = np.searchsorted(common, t)
                     often = common[np.minimum(at, len(common) - 1)] == t
-                    t = np.concatenate([t[~often], t[often]]) if often.any() else t
+                if changed_only and not often[:p].any():
+                    continue
+                t = np.concatenate([t[~often], t[often]])
                 nodes.append(np.full(p, node, np.int64))
+                groups.append(np.full(p, grp, np.int64))
                 sizes.append(np.full(p, len(t), np.int32))
                 tokens.append(t[:p])
             if nodes:
-                yield pd.DataFrame({"node": np.concatenate(nodes), "n": np.concatenate(sizes),
-                                    "token": np.concatenate(tokens)})
+                yield pd.DataFrame({"node": np.concatenate(nodes), "grp": np.concatenate(groups),
+                                    "n": np.concatenate(sizes), "token": np.concatenate(tokens)})
 
     return rows
 
@@ -152,8 +159,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, pct: int) -> DataFr
 
 
 def _common_tokens(found: DataFrame) -> np.ndarray:
-    """Tokens of more than COMMON groups; the bound is doubled until at most COMMON_TOKENS are left."""
-    counts = cut(found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON))
+    """Tokens of more than COMMON sets, not all in one group; the least count is doubled until at most COMMON_TOKENS are left."""
+    counts = cut(found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+                 .where((F.col("n") > COMMON) & (F.col("lo") < F.col("hi"))).select("token", "n"))
     least = COMMON
     while counts.where(F.col("n") > least).count() > COMMON_TOKENS:
         least *= 2
@@ -161,10 +169,6 @@ def _common_tokens(found: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64))
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    return connected_components(edges)
-
-
 def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -181,21 +185,19 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
                   .where("n > 1").select("band", "b"))
     starred = cut(banded.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     stars = cut(_verified(starred, texts, size, pct))
-    groups = cut(_components(stars))
-
-    def grouped(found: DataFrame) -> DataFrame:
-        return found.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
-
-    common = np.empty(0, np.int64)
-    while True:
-        prefixes = texts.mapInPandas(_prefixes(size, pct, common), "node bigint, n int, token bigint")
-        matrix = grouped(prefixes).groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        more = np.setdiff1d(_common_tokens(matrix), common)
+    groups = cut(connected_components(stars))
+    grouped = texts.join(small_side(groups, BROADCAST_IDS), "node", "left").withColumn(
+        "grp", F.coalesce("component", "node")).drop("component")
+    form = "node bigint, grp bigint, n int, token bigint"
+
+    common, again = np.empty(0, np.int64), False
+    while len(common) <= COMMON_TOKENS:
+        more = np.setdiff1d(_common_tokens(grouped.mapInPandas(_prefixes(size, pct, common, again), form)), common)
         if not len(more):
             break
-        common = np.union1d(common, more)
-        if len(common) > COMMON_TOKENS:
-            break
+        common, again = np.union1d(common, more), True
+    matrix = (grouped.mapInPandas(_prefixes(size, pct, common), form).repartition("token")
+              .groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     other = matrix.select("token", F.col("grp").alias("grp_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     fits = (F.col("hi_b") * 100 >= F.col("lo") * pct) & (F.col("hi") * 100 >= F.col("lo_b") * pct)
     opened = cut(matrix.join(other, "token").where((F.col("grp") < F.col("grp_b")) & fits)
@@ -204,17 +206,16 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
     if opened.isEmpty():
         edges = stars
     else:
-        sides = opened.select(F.explode(F.array("grp", "grp_b")).alias("grp")).distinct()
-        members = grouped(texts).join(small_side(cut(sides), BROADCAST_IDS), "grp", "left_semi")
-        rows = cut(grouped(members.select("node", "text").mapInPandas(
-            _prefixes(size, pct, common), "node bigint, n int, token bigint")))
+        sides = cut(opened.select(F.explode(F.array("grp", "grp_b")).alias("grp")).distinct())
+        rows = cut(grouped.join(small_side(sides, BROADCAST_IDS), "grp", "left_semi")
+                   .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common), form))
         first = opened.join(rows.select("grp", F.col("node").alias("a"), F.col("n").alias("n_a"), "token"), "grp")
         second = rows.select(F.col("grp").alias("grp_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), "token")
         close = (F.col("n_a") * 100 >= F.col("n_b") * pct) & (F.col("n_b") * 100 >= F.col("n_a") * pct)
         pairs = cut(first.join(second, ["grp_b", "token"]).where(close).groupBy("a", "b")
                     .agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED).select("a", "b"))
         edges = stars.unionByName(_verified(pairs, texts, size, pct))
-    labels = cut(_components(edges))
+    labels = cut(connected_components(edges))
     named = nodes.select("n", "k1", "k2", "node").join(labels, "node", "left").select(
         F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"),
         F.coalesce("component", "node").alias("component"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from greenspark.llm import quality_rules, sharding, url_filter
+from greenspark.llm import jaccard_join, quality_rules, sharding, url_filter
 from greenspark.llm.common import read
 
 
@@ -18,8 +18,13 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.url_digest(read(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_digest(read(spark, sf_dir, "documents"))
+
+
 CHECKS = {
     "op3_quality_rules": (op3_quality_rules, quality_rules.SQL),
     "op4_sharding": (op4_sharding, None),
+    "op10_jaccard_join": (op10_jaccard_join, None),
     "op6_url_filter": (op6_url_filter, None),
 }
