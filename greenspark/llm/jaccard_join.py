@@ -3,11 +3,12 @@
 Documents with equal shingle sets are one node.  Nodes that share a MinHash band are compared with the smallest node
 of the band and, if similar, form a group with it.  Each group stores the union of its members' prefix tokens; two
 groups can hold a similar pair only if these unions share ``SHARED`` tokens, so only such pairs of groups are opened
-and their members compared, exactly, on whole texts.
+and their members compared: first by longer prefixes (a ``PAIR_PART``-th of a set must be shared there), then exactly,
+on whole texts.
 
 Why nothing is lost.  With similarity t, two similar sets of sizes n and m share at least ceil(t * max(n, m)) tokens.
-Order all tokens alike; then the first n - ceil(t * n) + SHARED tokens of one set and the first m - ceil(t * m) + SHARED
-of the other share at least SHARED tokens.  Any order will do, so tokens that stand in many groups (passages that many
+Order all tokens alike; then the first n - ceil(t * n) + k tokens of one set and the first m - ceil(t * m) + k of the
+other share at least k tokens, for any k up to the smaller overlap; k = SHARED for groups.  Any order will do, so tokens that stand in many groups (passages that many
 documents quote) are put last; which tokens those are changes the cost only.  Different sets of fewer than six tokens
 are never similar at 0.85, and SHARED tokens exist in every larger set.
 
@@ -32,6 +33,7 @@ from greenspark.operators.components import connected_components
 from greenspark.operators.lineage import cut
 
 SHARED = 3
+PAIR_PART = 8
 BANDS, BAND_ROWS = 6, 3
 COMMON = 24
 BROADCAST_IDS = 4_000_000
@@ -71,8 +73,13 @@ class Shingler:
         return np.unique(grams)
 
 
-def prefix_length(n: int, pct: int) -> int:
-    return min(n, n - ceil(pct * n / 100) + SHARED)
+def least_shared(n: int, part: int) -> int:
+    """Shared tokens asked of the prefixes of a set of ``n``: SHARED, or an n-th ``part`` of the set if that is more."""
+    return max(SHARED, n // part) if part else SHARED
+
+
+def prefix_length(n: int, pct: int, part: int = 0) -> int:
+    return min(n, n - ceil(pct * n / 100) + least_shared(n, part))
 
 
 def _sketch(size: int):
@@ -99,10 +106,10 @@ def _sketch(size: int):
     return rows
 
 
-def _prefixes(size: int, pct: int, common: np.ndarray, changed_only: bool = False):
+def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: bool = False):
     """(node, grp, n, token) of the prefix of every set, tokens in ``common`` last.
 
-    ``changed_only`` leaves out sets whose prefix has no token in ``common``.
+    ``changed``: instead all other tokens of those sets whose prefix in plain order has a token in ``common``.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,14 +120,17 @@ def _prefixes(size: int, pct: int, common: np.ndarray, changed_only: bool = Fals
                 t = shingler.tokens(text).view(np.int64)
                 if len(t) < 6:
                     continue
-                p = prefix_length(len(t), pct)
+                p = prefix_length(len(t), pct, part)
                 often = np.zeros(len(t), bool)
                 if len(common):
                     at = np.searchsorted(common, t)
                     often = common[np.minimum(at, len(common) - 1)] == t
-                if changed_only and not often[:p].any():
-                    continue
-                t = np.concatenate([t[~often], t[often]])
+                if changed:
+                    if not often[:p].any():
+                        continue
+                    t, p = t[~often], len(t) - int(often.sum())
+                else:
+                    t = np.concatenate([t[~often], t[often]])
                 nodes.append(np.full(p, node, np.int64))
                 groups.append(np.full(p, grp, np.int64))
                 sizes.append(np.full(p, len(t), np.int32))
@@ -190,12 +200,10 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
         "grp", F.coalesce("component", "node")).drop("component")
     form = "node bigint, grp bigint, n int, token bigint"
 
-    common, again = np.empty(0, np.int64), False
-    while len(common) <= COMMON_TOKENS:
-        more = np.setdiff1d(_common_tokens(grouped.mapInPandas(_prefixes(size, pct, common, again), form)), common)
-        if not len(more):
-            break
-        common, again = np.union1d(common, more), True
+    common = _common_tokens(grouped.mapInPandas(_prefixes(size, pct, np.empty(0, np.int64)), form))
+    if len(common):
+        rest = _common_tokens(grouped.mapInPandas(_prefixes(size, pct, common, changed=True), form))
+        common = np.union1d(common, rest)
     matrix = (grouped.mapInPandas(_prefixes(size, pct, common), form).repartition("token")
               .groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     other = matrix.select("token", F.col("grp").alias("grp_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
@@ -208,12 +216,13 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
     else:
         sides = cut(opened.select(F.explode(F.array("grp", "grp_b")).alias("grp")).distinct())
         rows = cut(grouped.join(small_side(sides, BROADCAST_IDS), "grp", "left_semi")
-                   .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common), form))
+                   .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common, PAIR_PART), form))
         first = opened.join(rows.select("grp", F.col("node").alias("a"), F.col("n").alias("n_a"), "token"), "grp")
         second = rows.select(F.col("grp").alias("grp_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), "token")
         close = (F.col("n_a") * 100 >= F.col("n_b") * pct) & (F.col("n_b") * 100 >= F.col("n_a") * pct)
         pairs = cut(first.join(second, ["grp_b", "token"]).where(close).groupBy("a", "b")
-                    .agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED).select("a", "b"))
+                    .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
+                    .where(F.col("shared") >= F.greatest(F.lit(SHARED), F.floor(F.col("n") / PAIR_PART))).select("a", "b"))
         edges = stars.unionByName(_verified(pairs, texts, size, pct))
     labels = cut(connected_components(edges))
     named = nodes.select("n", "k1", "k2", "node").join(labels, "node", "left").select(
