@@ -1,6 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one node.  Nodes that share a MinHash band are compared with the smallest node
+Documents with equal shingle sets are one node.  The tokens are dealt into BANDS classes by hash; the
+BAND_ROWS smallest of a class are its band.  Nodes that share a band are compared with the smallest node
 of the band and, if similar, form a group with it.  Each group stores the union of its members' prefix tokens; two
 groups can hold a similar pair only if these unions share ``SHARED`` tokens, so only such pairs of groups are opened
 and their members compared: first by longer prefixes (a ``PAIR_PART``-th of a set must be shared there), then exactly,
@@ -36,6 +37,8 @@ SHARED = 3
 PAIR_PART = 8
 BANDS, BAND_ROWS = 6, 3
 COMMON = 24
+AHEAD = 4
+FLUSH_ROWS = 1 << 17
 BROADCAST_IDS = 4_000_000
 COMMON_TOKENS = 1_000_000
 MEMO_WORDS = 1 << 18
@@ -92,8 +95,8 @@ def _sketch(size: int):
                 if len(t):
                     with np.errstate(over="ignore"):
                         key = (int(t.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(t * _ODD[40] ^ (t >> np.uint64(17)))))
-                        lows = [int(((t * _ODD[8 + k]) >> np.uint64(1)).min()) for k in range(BANDS * BAND_ROWS)]
-                    bands = [xxhash.xxh64_intdigest(repr((b, lows[b * BAND_ROWS:(b + 1) * BAND_ROWS]))) - (1 << 63)
+                        side = (t >> np.uint64(7)) % np.uint64(BANDS)
+                    bands = [xxhash.xxh64_intdigest(t[side == b][:BAND_ROWS].tobytes(), b) - (1 << 63)
                              for b in range(BANDS)] if len(t) >= 6 else []
                     out.append((len(t), key[0] - (1 << 63), key[1] - (1 << 63), bands))
                 else:
@@ -109,13 +112,23 @@ def _sketch(size: int):
 def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: bool = False):
     """(node, grp, n, token) of the prefix of every set, tokens in ``common`` last.
 
-    ``changed``: instead all other tokens of those sets whose prefix in plain order has a token in ``common``.
+    ``changed``: instead the tokens that come next in those sets whose prefix in plain order has tokens in ``common``,
+    AHEAD for each of these.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(size)
+        shingler, held = Shingler(size), 0
+        nodes, groups, sizes, tokens = [], [], [], []
+
+        def table() -> pd.DataFrame:
+            nonlocal held
+            held, parts = 0, (nodes, groups, sizes, tokens)
+            made = pd.DataFrame({name: np.concatenate(p) for name, p in zip(("node", "grp", "n", "token"), parts, strict=True)})
+            for part in parts:
+                part.clear()
+            return made
+
         for batch in batches:
-            nodes, groups, sizes, tokens = [], [], [], []
             for node, grp, text in pandas_rows([batch], "node", "grp", "text"):
                 t = shingler.tokens(text).view(np.int64)
                 if len(t) < 6:
@@ -126,18 +139,22 @@ def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: b
                     at = np.searchsorted(common, t)
                     often = common[np.minimum(at, len(common) - 1)] == t
                 if changed:
-                    if not often[:p].any():
+                    lacking = int(often[:p].sum())
+                    if not lacking:
                         continue
-                    t, p = t[~often], len(t) - int(often.sum())
+                    t = t[p:][~often[p:]][:AHEAD * lacking]
+                    p = len(t)
                 else:
                     t = np.concatenate([t[~often], t[often]])
                 nodes.append(np.full(p, node, np.int64))
                 groups.append(np.full(p, grp, np.int64))
                 sizes.append(np.full(p, len(t), np.int32))
                 tokens.append(t[:p])
+                held += p
+                if held > FLUSH_ROWS:
+                    yield table()
             if nodes:
-                yield pd.DataFrame({"node": np.concatenate(nodes), "grp": np.concatenate(groups),
-                                    "n": np.concatenate(sizes), "token": np.concatenate(tokens)})
+                yield table()
 
     return rows
 
