@@ -256,5 +256,18 @@ def _repeats(sketches: DataFrame) -> bool:
     return not sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def one_of_each(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFrame:
+    """``docs`` with the document of the smallest id of each component; rows without an id stay."""
+    found = similar_components(docs, size, pct).where("doc_id is not null")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    left = docs.join(small_side(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if repeated.isEmpty():
+        return left
+    twice = small_side(repeated, BROADCAST_IDS)
+    again = left.join(twice, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(again)
+
+
 def jaccard_digest(docs: DataFrame) -> DataFrame:
     return similar_components(docs, 4, 85)

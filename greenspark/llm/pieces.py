@@ -10,7 +10,7 @@ their joined text gives the same two pieces, and exactly one admissible path lea
 the public library.
 
 No piece holds a space mark after another character, so paths always meet before a space; the ids of such a stretch
-depend on the stretch alone and are remembered (``MEMO`` stretches, then forgotten; results do not depend on it).
+depend on the stretch alone and are remembered (the last ``MEMO`` to 2 * ``MEMO`` of them; results do not depend on it).
 
 Defined results: null gives null ids, empty text an empty list; characters outside the vocabulary become their bytes;
 control pieces in a text are ordinary text; repeated rows give equal rows; other columns are kept.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO = 1 << 17
+MEMO = 400_000
 MEMO_LENGTH = 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -57,41 +57,69 @@ class PieceModel:
         self.vocabulary, self.byte_ids, self.unknown, self.control = vocabulary, byte_ids, unknown, control
         self.longest = max(map(len, vocabulary), default=1)
         self.letters = set("".join(vocabulary))
+        self.endings = {p[k:] for p in vocabulary for k in range(len(p))}
         self.splits = not any(MARK in p.lstrip(MARK) for p in vocabulary)
         self.byte_value = {i: b for b, i in byte_ids.items()}
+        self.high = {i for i, b in self.byte_value.items() if b > 127}
+        self.shown = ["" if i in control else chr(self.byte_value[i]) if i in self.byte_value else p
+                      for i, p in enumerate(self.piece)]
         self.worst = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        self.own: dict[str, tuple[str, str] | None] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if "\n" not in self.letters else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def merged(self, text: str) -> list[str]:
-        """Merges of a short text: always the best-ranked pair, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                entry = self.vocabulary.get(parts[i] + parts[i + 1])
-                if entry and (best is None or entry[1] > best):
-                    best, at = entry[1], i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The last merge that makes a piece, found by merging its characters; None for one character."""
+        known = self.own.get(piece, 0)
+        if known == 0:
+            parts, known = list(piece), None
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    entry = self.vocabulary.get(parts[i] + parts[i + 1])
+                    if entry and (best is None or entry[1] > best):
+                        best, at = entry[1], i
+                if at < 0:
+                    known = ("", "")
+                    break
+                known = parts[at], parts[at + 1]
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            self.own[piece] = known
+        return known
 
     def is_stable(self, piece: str) -> bool:
-        known = self.own.get(piece)
-        if known is None:
-            known = self.own[piece] = self.merged(piece) == [piece]
-        return known
+        """Whether the characters of a piece merge to the piece."""
+        return self.halves(piece) != ("", "")
 
     def are_neighbours(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 8 * MEMO:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+        """Whether no merge across the seam of two stable pieces comes before the merges that make them.
+
+        The two pieces are taken apart at the seam, the later merge first; at each state a merge across the seam
+        must rank behind the merge just undone.  Of equal ranks the left one is made first.
+        """
+        pair = left, right
+        known = self.pairs.get(pair)
+        if known is not None:
+            return known
+        if len(self.pairs) > MEMO:
+            self.pairs.clear()
+        vocabulary, limit, left_limit, ok = self.vocabulary, None, False, True
+        while True:
+            across = vocabulary.get(left + right)
+            if across and (limit is None or across[1] > limit or (across[1] == limit and not left_limit)):
+                ok = False
+                break
+            one, two = self.halves(left), self.halves(right)
+            if one is None and two is None:
+                break
+            if two is None or (one is not None and vocabulary[left][1] < vocabulary[right][1]):
+                limit, left_limit, left = vocabulary[left][1], True, one[1]
+            else:
+                limit, left_limit, right = vocabulary[right][1], False, two[0]
+        self.pairs[pair] = ok
+        return ok
 
     def ids_of(self, piece: str) -> list[int]:
         entry = self.vocabulary.get(piece)
@@ -126,6 +154,8 @@ def viterbi_stream(model: PieceModel, text: Iterator[str]) -> Iterator[list[str]
         here, best = len(tail), None
         for length in range(1, min(window, here) + 1):
             piece, before = tail[here - length:here], here - length
+            if length > 1 and piece not in model.endings:
+                break
             entry = model.vocabulary.get(piece)
             if (entry is None and length > 1) or ends[before][1] < 0:
                 continue
@@ -156,6 +186,39 @@ def viterbi_stream(model: PieceModel, text: Iterator[str]) -> Iterator[list[str]
     yield pieces(path(len(tail)))
 
 
+def short_path(model: PieceModel, text: str) -> list[str]:
+    """Pieces of a short stretch of a merge vocabulary: the same lattice in one go.
+
+    One admissible path leads to each position, so the longest piece that fits its neighbour is the one.
+    """
+    endings, vocabulary, pairs, window = model.endings, model.vocabulary, model.pairs, model.longest
+    last = [""]
+    for here in range(1, len(text) + 1):
+        starts = []
+        for before in range(here - 2, max(here - window, 0) - 1, -1):
+            piece = text[before:here]
+            if piece not in endings:
+                break
+            if piece in vocabulary:
+                starts.append(before)
+        found = text[here - 1]
+        while starts:
+            before = starts.pop()
+            piece, left = text[before:here], last[before]
+            if not model.is_stable(piece):
+                continue
+            known = pairs.get((left, piece)) if left else True
+            if known or (known is None and model.are_neighbours(left, piece)):
+                found = piece
+                break
+        last.append(found)
+    pieces, at = [], len(text)
+    while at:
+        pieces.append(last[at])
+        at -= len(last[at])
+    return pieces[::-1]
+
+
 def encode(model: PieceModel, text: str | None) -> list[int] | None:
     if text is None:
         return None
@@ -165,10 +228,18 @@ def encode(model: PieceModel, text: str | None) -> list[int] | None:
     for part in model.stretch.findall(marked) if model.splits else [marked]:
         known = model.memo.get(part)
         if known is None:
-            known = tuple(i for some in viterbi_stream(model, iter(part)) for p in some for i in model.ids_of(p))
+            known = model.older.get(part)
+            if known is not None:
+                model.memo[part] = known
+        if known is None:
+            if model.kind == "bpe" and len(part) <= MEMO_LENGTH:
+                found = short_path(model, part)
+            else:
+                found = (p for some in viterbi_stream(model, iter(part)) for p in some)
+            known = tuple(i for p in found for i in model.ids_of(p))
             if len(part) <= MEMO_LENGTH:
                 if len(model.memo) >= MEMO:
-                    model.memo.clear()
+                    model.older, model.memo = model.memo, {}
                 model.memo[part] = known
         ids.extend(known)
     return ids
@@ -178,18 +249,21 @@ def decode(model: PieceModel, ids: list[int] | None) -> str | None:
     """The text of ids; a wrong byte sequence becomes U+FFFD, control pieces vanish."""
     if ids is None:
         return None
-    out, raw = [], bytearray()
-    for i in ids:
-        if i in model.byte_value:
-            raw.append(model.byte_value[i])
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        if i not in model.control:
-            out.append(model.piece[i])
-    out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+    if model.high.isdisjoint(ids):
+        text = "".join(map(model.shown.__getitem__, ids))
+    else:
+        out, raw = [], bytearray()
+        for i in ids:
+            if i in model.byte_value:
+                raw.append(model.byte_value[i])
+                continue
+            if raw:
+                out.append(raw.decode("utf-8", "replace"))
+                raw.clear()
+            out.append(model.shown[i])
+        out.append(raw.decode("utf-8", "replace"))
+        text = "".join(out)
+    text = text.replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 

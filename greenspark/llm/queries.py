@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from greenspark.llm import jaccard_join, quality_rules, sharding, url_filter
+from greenspark.llm import decontaminate, jaccard_join, pieces, pii, quality_rules, sharding, url_filter
 from greenspark.llm.common import read
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_digest(read(spark, sf_dir, "documents"))
 
@@ -18,13 +22,24 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.url_digest(read(spark, sf_dir, "pages"))
 
 
+def op7_pieces(spark, sf_dir):
+    return pieces.encode_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.pii_digest(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_digest(read(spark, sf_dir, "documents"))
 
 
 CHECKS = {
+    "op1_decontamination": (op1_decontamination, None),
     "op3_quality_rules": (op3_quality_rules, quality_rules.SQL),
     "op4_sharding": (op4_sharding, None),
+    "op7_pieces": (op7_pieces, None),
+    "op8_pii": (op8_pii, None),
     "op10_jaccard_join": (op10_jaccard_join, None),
     "op6_url_filter": (op6_url_filter, None),
 }
