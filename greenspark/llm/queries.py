@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from greenspark.llm import decontaminate, jaccard_join, pieces, pii, quality_rules, sharding, url_filter
+from greenspark.llm import decontaminate, jaccard_join, language, pieces, pii, quality_rules, sharding, url_filter
 from greenspark.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.sharding_digest(read(spark, sf_dir, "documents"))
 
 
+def op5_language(spark, sf_dir):
+    return language.language_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.url_digest(read(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ CHECKS = {
     "op1_decontamination": (op1_decontamination, None),
     "op3_quality_rules": (op3_quality_rules, quality_rules.SQL),
     "op4_sharding": (op4_sharding, None),
+    "op5_language": (op5_language, None),
     "op7_pieces": (op7_pieces, None),
     "op8_pii": (op8_pii, None),
     "op10_jaccard_join": (op10_jaccard_join, None),
