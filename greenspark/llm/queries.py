@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from greenspark.llm import decontaminate, jaccard_join, language, pieces, pii, quality_rules, sharding, url_filter
+from greenspark.llm import decontaminate, html_main, jaccard_join, language, pieces, pii, quality_rules, sharding, url_filter
 from greenspark.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op8_pii(spark, sf_dir):
     return pii.pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op9_html_main(spark, sf_dir):
+    return html_main.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_digest(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ CHECKS = {
     "op5_language": (op5_language, None),
     "op7_pieces": (op7_pieces, None),
     "op8_pii": (op8_pii, None),
+    "op9_html_main": (op9_html_main, None),
     "op10_jaccard_join": (op10_jaccard_join, None),
     "op6_url_filter": (op6_url_filter, None),
 }
