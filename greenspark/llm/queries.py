@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from greenspark.llm import decontaminate, html_main, jaccard_join, language, pieces, pii, quality_rules, sharding, url_filter
+from greenspark.llm import decontaminate, html_main, jaccard_join, language, pieces, pii, quality_rules, sharding, suffix_dedup, url_filter
 from greenspark.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_digest(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 CHECKS = {
     "op1_decontamination": (op1_decontamination, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_quality_rules": (op3_quality_rules, quality_rules.SQL),
     "op4_sharding": (op4_sharding, None),
     "op5_language": (op5_language, None),
