@@ -2,18 +2,18 @@
 
 Of each text only the suffixes are retained that start at a minimiser: the smallest hash of ``CORE`` words among all that
 start within ``PASSAGE - CORE + 1`` words.  Every passage of ``PASSAGE`` words holds one, and equal passages hold the same.
-The retained suffixes are sorted by core and what follows it, and once more by core and what precedes it (both as hashes
-of growing stretches), and neighbours are compared.  Two suffixes inside a common passage agree on the next ``NEAR`` words
-or on the ``NEAR`` words before, so they meet in one of the two orders.  Matches are then extended left and right on the
-texts, word by word, and stretches of ``PASSAGE`` words or more are kept.
+The retained suffixes are sorted by core, some words before it and some after it (as hashes of growing stretches), in
+five orders that share the words out differently, and neighbours are compared.  A passage of ``PASSAGE`` words around a core
+has at least 8 * a words before and 8 * b after it for some a + b = 4, so its two suffixes agree in one of the orders.  Matches
+are then extended left and right on the texts, word by word, and stretches of ``PASSAGE`` words or more are kept.
 
 Texts that are equal as a whole stand for one another: one of them is sorted, and each of them counts as one passage.
 Sorting is a range shuffle on the whole suffix key, so a core that very many texts share is spread over tasks; the rows at the
 ends of the ranges are compared in a second step, two rows per range.
 
-Limits: a suffix is compared with its neighbours in two orders, not with all suffixes of its core.  Where three or more texts
-share a core with different parts around it, a match that is best on neither side can be missed at that core; most are still
-found at another core of the passage.
+Limits: a suffix is compared with its neighbours in five orders, not with all suffixes of its core.  Where three or more
+texts agree on 40 words around a core and differ in the next ten, a match can be missed at that core; it is mostly found at
+another core of the passage.
 
 Defined results: null, blank and short texts have no passages; rows that repeat id and text are one document; a passage that
 repeats inside one document counts; rows without an id take no part; extra columns stay unread.
@@ -33,7 +33,8 @@ from greenspark.llm.common import pandas_rows, small_side, words_bytes
 from greenspark.operators.lineage import cut
 
 PASSAGE, CORE = 50, 8
-STRETCHES = (20, 28, 36, 42)
+STRETCHES = (8, 16, 24, 32)
+ORDERS = ((0, 32), (8, 24), (16, 16), (24, 8), (32, 0))
 BROADCAST_IDS, BROADCAST_CORES = 4_000_000, 2_000_000
 FLUSH_ROWS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -147,10 +148,25 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 FOUND_COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 
 
-def _sorted_pairs(suffixes: DataFrame, first: str, order: list[str]) -> DataFrame:
-    """(doc, pos, other, other_pos) of neighbours in one order."""
-    ranged = suffixes.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    found = cut(ranged.select(F.spark_partition_id().alias("part"), "core", F.shiftright(first, 32).alias("near"), "doc", "pos")
+def _orders(suffixes: DataFrame) -> DataFrame:
+    """Each suffix once per order: ``near`` stands for the words before and after that must agree, then the next stretches."""
+    low = F.lit(0xFFFFFFFF)
+    right = {0: F.lit(0), 8: F.shiftright("r1", 32), 16: F.col("r1").bitwiseAND(low),
+             24: F.shiftright("r2", 32), 32: F.col("r2").bitwiseAND(low)}
+    left = {0: F.lit(0), 8: F.shiftright("l1", 32), 16: F.col("l1").bitwiseAND(low),
+            24: F.shiftright("l2", 32), 32: F.col("l2").bitwiseAND(low)}
+    keys = [F.struct(
+        F.xxhash64(F.lit(k), left[a], right[b]).alias("near"),
+        F.xxhash64(left[min(a + 8, 32)], right[min(b + 8, 32)]).alias("then"),
+        right[min(b + 8, 32)].cast("bigint").alias("more")) for k, (a, b) in enumerate(ORDERS)]
+    return suffixes.select("core", "doc", "pos", F.inline(F.array(*keys)))
+
+
+def _sorted_pairs(suffixes: DataFrame) -> DataFrame:
+    """(doc, pos, other, other_pos) of neighbours in all orders."""
+    order = ["core", "near", "more", "then", "doc", "pos"]
+    ranged = _orders(suffixes).repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    found = cut(ranged.select(F.spark_partition_id().alias("part"), "core", "near", "doc", "pos")
                 .mapInPandas(_neighbours, FOUND))
     seam = Window.orderBy("part", "kind")  # two rows per range partition
     ends = found.where("kind > 0").select("*", *[F.lag(c).over(seam).alias("_" + c) for c in ("kind", "core", "near", "doc", "pos")])
@@ -196,10 +212,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     cores = cut(suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
     shared = suffixes.join(small_side(cores, BROADCAST_CORES), "core", "left_semi")
     shared = cut(shared)
-    ahead = _sorted_pairs(shared, "r1", ["core", "r1", "r2", "l1", "l2", "doc", "pos"])
-    behind = _sorted_pairs(shared, "l1", ["core", "l1", "l2", "r1", "r2", "doc", "pos"])
     turned = F.col("doc") < F.col("other")
-    pairs = ahead.unionByName(behind).select(
+    pairs = _sorted_pairs(shared).select(
         F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"),
         F.when(turned, F.col("pos")).otherwise(F.col("other_pos")).alias("pos"),
         F.when(turned, F.col("other_pos")).otherwise(F.col("pos")).alias("other_pos"))
