@@ -50,7 +50,8 @@ class Templates:
         self.clear()
 
     def clear(self):
-        self.memo, self.hashes, self.flags = {}, [], []
+        self.memo = {}
+        self._h, self._f = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
     def _learn(self, word: str) -> None:
         core = word.strip("\"'`()[]{}<>|*#$%&!?.,;:-_=+~/\\“”‘’«»…–—") or ""
@@ -64,20 +65,19 @@ class Templates:
                 flags |= UNIT
         if word.rstrip("\"')]”’*#$%&|!")[-1:] in (".", "!", "?", ":") or word[-1:] in "!?":
             flags |= ENDS
-        self.memo[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(core.lower()))
-        self.flags.append(flags)
+        at = self.memo[word] = len(self.memo)
+        if at == len(self._h):
+            self._h, self._f = np.concatenate([self._h, np.zeros_like(self._h)]), np.concatenate([self._f, np.zeros_like(self._f)])
+        self._h[at] = xxhash.xxh64_intdigest(core.lower())
+        self._f[at] = flags
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(template hashes, whether each is a slot, words)."""
         words = text.split() if text else []
         if len(self.memo) > MEMO_WORDS:
             self.clear()
-        known = len(self.memo)
         for w in set(words).difference(self.memo):
             self._learn(w)
-        if known != len(self.memo) or not known:
-            self._h, self._f = np.array(self.hashes, np.uint64), np.array(self.flags, np.int64)
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if not len(at):
             return np.empty(0, np.uint64), np.empty(0, bool), []
