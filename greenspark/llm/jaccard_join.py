@@ -100,9 +100,8 @@ def _sketch(size: int):
                              for b in range(BANDS)] if len(t) >= 6 else []
                     out.append((len(t), key[0] - (1 << 63), key[1] - (1 << 63), bands))
                 else:
-                    out.append((0, None, None, []))
+                    out.append((0, 0, 0, []))
             made = pd.DataFrame(out, columns=["n", "k1", "k2", "bands"])
-            made["k1"], made["k2"] = made["k1"].astype("Int64"), made["k2"].astype("Int64")
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield made
 

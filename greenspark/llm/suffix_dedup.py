@@ -213,7 +213,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = suffixes.join(small_side(cores, BROADCAST_CORES), "core", "left_semi")
     shared = cut(shared)
     turned = F.col("doc") < F.col("other")
-    pairs = _sorted_pairs(shared).select(
+    pairs = _sorted_pairs(shared).where("doc <> other or pos <> other_pos").select(
         F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"),
         F.when(turned, F.col("pos")).otherwise(F.col("other_pos")).alias("pos"),
         F.when(turned, F.col("other_pos")).otherwise(F.col("pos")).alias("other_pos"))

@@ -57,7 +57,7 @@ def _after_scheme(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as a struct (rule, verdict), or null."""
-    best = F.lit(None)
+    best = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, domain, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(start)
         best = F.when(fits, F.struct(F.lit(domain + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
