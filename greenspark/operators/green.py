@@ -66,7 +66,7 @@ def green_area_per_area(areas: DataFrame, greens: DataFrame, out: str, key: str
 
 def green_share(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
     """Area-weighted green share per ``key``; areas of one key are taken together."""
-    sizes = areas.groupBy(key).agg(F.sum(G.area(F.col("geom"))).alias("area_m2"))
+    sizes = areas.groupBy(key).agg(F.sum(G.area(G.normalise(F.col("geom")))).alias("area_m2"))
     return (green_area_per_area(areas, greens, "green_m2_gross", key).join(sizes, key)
             .select(key, "green_m2_gross", "area_m2",
                     F.try_divide("green_m2_gross", F.nullif(F.col("area_m2"), F.lit(0.0))).alias("green_share")))
@@ -74,7 +74,7 @@ def green_share(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
 
 def green_share_dissolved(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
     """As ``green_share``, but ground below several overlapping features counts once."""
-    sizes = areas.groupBy(key).agg(F.sum(G.area(F.col("geom"))).alias("area_m2"))
+    sizes = areas.groupBy(key).agg(F.sum(G.area(G.normalise(F.col("geom")))).alias("area_m2"))
     return (union_area(areas, greens, key, "green_m2_dissolved").join(sizes, key)
             .select(key, "green_m2_dissolved", "area_m2",
                     F.try_divide("green_m2_dissolved", F.nullif(F.col("area_m2"), F.lit(0.0))).alias("green_share")))
@@ -99,7 +99,7 @@ def angst(areas: DataFrame, greens: DataFrame, radius: float = SEARCH_RADIUS_M)
     The search radius applies to the distance between polygons; the reported distance runs from
     the centroid of the area.  Areas without a hit stay, with NULL distance and 0 area.
     """
-    shaped = spatial.with_shape(areas.select("area_code", "population", "geom"), "geom", "a_edges", "a_box").drop("geom")
+    shaped = spatial.with_shape(areas.select("area_code", "population", G.normalise(F.col("geom")).alias("geom")), "geom", "a_edges", "a_box").drop("geom")
     centred = spatial.once(shaped, "centre", G.edges_centroid(F.col("a_edges")))
     pairs = spatial.within_distance_join(centred.drop("population"), large_public(greens).select("g_edges", "g_box"),
                                          "a_edges", "g_edges", "a_box", "g_box", radius)

@@ -144,6 +144,9 @@ def with_shape(df: DataFrame, geom: str, edges: str = "edges", box: str = "box")
 
 
 def part_shapes(df: DataFrame, keys: list[str], edges: str, box: str, geom: str = "geom") -> DataFrame:
-    """``keys`` with edges and box of every polygon part, so scattered multipolygons join by small boxes."""
-    parts = df.select(*keys, F.explode(geom).alias("_part"))
+    """``keys`` with edges and box of every polygon part, so scattered multipolygons join by small boxes.
+
+    Rings may run either way; shells are turned counter-clockwise here, as the kernels need them.
+    """
+    parts = df.select(*keys, F.explode(G.normalise(F.col(geom))).alias("_part"))
     return with_shape(parts.withColumn("_part", F.array("_part")), "_part", edges, box).drop("_part")

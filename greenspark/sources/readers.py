@@ -25,9 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def released_features(spark: SparkSession, root: str, release: str, theme: str, kind: str) -> DataFrame:
-    """Feature Parquet of one pinned release; theme and type are partition folders and get pruned."""
-    return (spark.read.option("basePath", f"{root}/{release}").parquet(f"{root}/{release}")
-            .where((F.col("theme") == theme) & (F.col("type") == kind)))
+    """Feature Parquet of one theme and type of a pinned release.
+
+    Only that folder is listed, and its own schema is read: types of a release have different columns.
+    """
+    base = f"{root}/{release}"
+    return spark.read.option("basePath", base).parquet(f"{base}/theme={theme}/type={kind}")
 
 
 def geojson_features(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
@@ -62,24 +65,43 @@ def census_counts(spark: SparkSession, path: str, prefix: str = "E02", code_out:
     """
     raw = spark.read.csv(path, header=True)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
-    code = next((c for c in raw.columns if "geography code" in c.lower() or c.lower() == "mnemonic"), None)
+    code = _best_header(raw.columns, _CODE_HEADERS)
     if code is None:
         raise ValueError(f"no area code column among {raw.columns}")
     kept = raw.where(F.col(f"`{code}`").startswith(prefix))
-    count = next((c for c in raw.columns if "observation" in c.lower()), None)
+    count = _best_header(raw.columns, _COUNT_HEADERS) or _last_numeric(kept)
     if count is None:
-        numeric = kept.agg(*[
-            ((F.count(F.col(f"`{c}`")) > 0) & (F.count_if(
-                F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()) == 0)).alias(str(i))
-            for i, c in enumerate(raw.columns)]).first()
-        usable = [c for i, c in enumerate(raw.columns) if numeric[i]]
-        if not usable:
-            raise ValueError(f"no numeric column among {raw.columns}")
-        count = usable[-1]
+        raise ValueError(f"no numeric column among {raw.columns}")
     return kept.select(F.col(f"`{code}`").alias(code_out),
                        F.col(f"`{count}`").try_cast("double").cast("bigint").alias(count_out))
 
 
+# What headers of census downloads say, and whether the whole header must say it.
+_CODE_HEADERS = (("mnemonic", True), ("geography code", False))
+_COUNT_HEADERS = (("observation", False),)
+
+
+def _best_header(headers: list[str], roles: tuple[tuple[str, bool], ...]) -> str | None:
+    """The first header that fits a role of the table."""
+    def fits(header: str) -> bool:
+        plain = header.casefold()
+        return any(plain == said if whole else said in plain for said, whole in roles)
+
+    fitting = [h for h in headers if fits(h)]
+    return fitting[0] if fitting else None
+
+
+def _last_numeric(rows: DataFrame) -> str | None:
+    """The last column with values, all of them numbers."""
+    def verdict(name: str):
+        value = F.col(f"`{name}`")
+        return ((F.count(value) > 0) & (F.count(value) == F.count(value.try_cast("double")))).alias(name)
+
+    numeric = rows.agg(*[verdict(c) for c in rows.columns]).first()
+    usable = [c for c, yes in zip(rows.columns, numeric, strict=True) if yes]
+    return usable[-1] if usable else None
+
+
 SCENE_SCHEMA = ("id string, properties struct<datetime: timestamp, `eo:cloud_cover`: double, `s2:mgrs_tile`: string>, "
                 "bbox array<double>, geometry struct<type: string, coordinates: array<array<array<double>>>>, "
                 "assets map<string, struct<href: string>>")
