@@ -24,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """Words of a text column (null: none), split at ASCII white space."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def small_side(df: DataFrame, limit: int) -> DataFrame:
