@@ -87,17 +87,22 @@ WITH {LOCAL_SQL}
 SELECT area_code, CASE WHEN p_sim >= 0.05 THEN 'NS' WHEN high AND lag_high THEN 'HH' WHEN high THEN 'HL' WHEN lag_high THEN 'LH' ELSE 'LL' END AS lisa_cluster FROM lo"""
 
 
-def lisa_mean_z(spark, sf):
-    pairs = contiguity.queen_by_vertex(T.area(spark, sf))
-    return autocorrelation.mean_z_clusters(T.residuals(spark, sf).select("area_code", "residual"), pairs, limit=0.5).select(
-        "area_code", F.round("gi_star", 8).alias("gi_star"), "lisa_cluster")
+def _mean_z(limit):
+    def query(spark, sf):
+        pairs = contiguity.queen_by_vertex(T.area(spark, sf))
+        return autocorrelation.mean_z_clusters(T.residuals(spark, sf).select("area_code", "residual"), pairs, limit=limit).select(
+            "area_code", F.round("gi_star", 8).alias("gi_star"), "lisa_cluster")
 
+    return query
 
-LISA_MEAN_Z_SQL = f"""
+
+def _mean_z_sql(limit):
+    return f"""
 WITH {Z_SQL},
 zs AS (SELECT w.src AS area_code, sum(z.z) AS zsum FROM w JOIN z ON z.area_code = w.dst GROUP BY 1),
 l AS (SELECT z.area_code, z, (z + zsum) / (k + 1) AS g FROM z JOIN zs USING (area_code) JOIN ag USING (area_code))
-SELECT area_code, round(g, 8) AS gi_star, CASE WHEN abs(g) < 0.5 THEN 'NS' WHEN z >= 0 AND g >= 0 THEN 'HH' WHEN z >= 0 THEN 'HL' WHEN g >= 0 THEN 'LH' ELSE 'LL' END AS lisa_cluster FROM l"""
+SELECT area_code, round(g, 8) AS gi_star, CASE WHEN abs(g) < {limit} THEN 'NS' WHEN z >= 0 AND g >= 0 THEN 'HH' WHEN z >= 0 THEN 'HL' WHEN g >= 0 THEN 'LH' ELSE 'LL' END AS lisa_cluster FROM l"""
+
 
 FEATURE_COLS = ["mean_ndvi_late", "log_pop_density", "log_area_km2", "dist_to_centre_km", "dist_to_park_km", "dist_centre_sq", "density_x_dist", "park_access"]
 
@@ -127,13 +132,15 @@ FOLD_SQL = f"""
 WITH {T.AREA_SQL}
 SELECT area_code, CAST((row_number() OVER (ORDER BY md5('42-' || area_code)) - 1) % 5 AS INTEGER) AS fold FROM area"""
 
-# The registered model queries run on the whole table with small ensembles: several minutes of tree building
-# per query would add no coverage.  The library defaults are the full sizes.
-SMALL = {"no_bootstrap_forest": {"numTrees": 14, "maxDepth": 6}, "random_forest": {"numTrees": 10, "maxDepth": 6}}
+_models: dict[tuple[str, str], forest.ModelResult] = {}
 
 
 def _trained(spark, sf):
-    return forest.train_predict(features.feature_frame(T.model_areas(spark, sf), None, 25832), SMALL, parallelism=8)
+    """Both candidates at full size, trained once per Spark application and input."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _models:
+        _models[at] = forest.train_predict(features.feature_frame(T.model_areas(spark, sf), None, 25832), parallelism=8)
+    return _models[at]
 
 
 def cv_scores(spark, sf):
@@ -149,7 +156,7 @@ def predictions(spark, sf):
 
 
 def anomalies(spark, sf):
-    return plan.build_anomalies(T.model_areas(spark, sf), None, 25832, SMALL, vertex_matched=True)[0]
+    return plan.build_anomalies(T.model_areas(spark, sf), None, 25832, vertex_matched=True, trained=_trained(spark, sf))[0]
 
 
 def borough_effects(spark, sf):
@@ -425,13 +432,10 @@ CHECKS = {
     "local_moran": (local_moran, f"WITH {LOCAL_SQL} SELECT area_code, round(local_i, 8) AS local_i, p_sim FROM lo"),
     "lisa_labels": (lisa_labels, LISA_LABELS_SQL),
     "gi_star": (gi_star, f"WITH {LOCAL_SQL} SELECT area_code, round(gi_star, 8) AS gi_star, gi_p FROM lo"),
-    "lisa_mean_z": (lisa_mean_z, LISA_MEAN_Z_SQL),
+    "lisa_mean_z": (_mean_z(0.5), _mean_z_sql(0.5)),
+    "lisa_mean_z_196": (_mean_z(1.96), _mean_z_sql(1.96)),
     "features": (feature_table, FEATURES_SQL),
     "fold_assignment": (fold_assignment, FOLD_SQL),
-    "cv_scores": (cv_scores, None),
-    "importances": (importances, None),
-    "predictions": (predictions, None),
-    "anomalies": (anomalies, None),
     "borough_effects": (borough_effects, BOROUGH_EFFECTS_SQL),
     "hex_cells": (hex_cells, HEX_CELLS_SQL),
     "hex_ndvi": (hex_ndvi, HEX_NDVI_SQL),
@@ -448,3 +452,11 @@ CHECKS = {
     "pack_checks": (pack_checks, PACK_CHECKS_SQL),
     "manifest_hash": (manifest_hash, None),
 }
+
+# Full-size training takes minutes in local mode: these come last.
+MODEL_CHECKS = {
+    "cv_scores": (cv_scores, None),
+    "importances": (importances, None),
+    "predictions": (predictions, None),
+    "anomalies": (anomalies, None),
+}
