@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None  # MinHash groups, template windows and piece ids have no SQL form
+ORACLE_SQL = None  # similar groups, template windows and piece ids have no SQL form
 CHECKS = {"pipeline": (run, ORACLE_SQL)}
