@@ -195,6 +195,20 @@ def _common_tokens(found: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64))
 
 
+def _matching(rows: DataFrame, pct: int) -> DataFrame:
+    """The prefix rows that can count in a similar pair: tokens of two groups or more, of sets that keep enough of these.
+
+    A partner of a set of n has at least ``pct`` per cent of n tokens, and the pair must share a ``PAIR_PART``-th of the
+    smaller set; a set with fewer tokens in other groups has no partner there.
+    """
+    met = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    rest = cut(rows.join(met, "token", "left_semi"))
+    asked = F.greatest(F.lit(SHARED), F.floor(F.col("n") * pct / (100 * PAIR_PART)))
+    enough = (rest.groupBy("node").agg(F.count(F.lit(1)).alias("left"), F.max("n").alias("n"))
+              .where(F.col("left") >= asked).select("node"))
+    return cut(rest.join(enough, "node", "left_semi"))
+
+
 def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -231,8 +245,8 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
         edges = stars
     else:
         sides = cut(opened.select(F.explode(F.array("grp", "grp_b")).alias("grp")).distinct())
-        rows = cut(grouped.join(small_side(sides, BROADCAST_IDS), "grp", "left_semi")
-                   .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common, PAIR_PART), form))
+        rows = _matching(cut(grouped.join(small_side(sides, BROADCAST_IDS), "grp", "left_semi")
+                             .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common, PAIR_PART), form)), pct)
         first = opened.join(rows.select("grp", F.col("node").alias("a"), F.col("n").alias("n_a"), "token"), "grp")
         second = rows.select(F.col("grp").alias("grp_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), "token")
         close = (F.col("n_a") * 100 >= F.col("n_b") * pct) & (F.col("n_b") * 100 >= F.col("n_a") * pct)
