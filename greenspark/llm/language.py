@@ -12,7 +12,8 @@ Training text is bounded: per language at most ``TRAIN_DOCS`` documents (those o
 symbols of each, so the automata have a fixed size however large the corpus is.
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score 0; ties go to the first language
-in alphabetical order; rows without a label or an id in the training share teach nothing; repeated rows get equal results;
+in alphabetical order; rows without a label or an id in the training share teach nothing; rows of one id and label teach one text, so the
+sample stays bounded; a language without a labelled text of 200 characters is not learned; repeated rows get equal results;
 without any labelled row all texts are ``und``; extra columns stay unread.
 """
 
@@ -155,8 +156,8 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_symbols: int = T
     ranked = ids.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
     few = cut(ranked.where(F.col("_k") <= train_docs).select(F.col("doc_id").alias("_id")))
     return docs.where("lang is not null and text is not null").join(
-        small_side(few, 1_000_000), F.col("doc_id") == F.col("_id"), "left_semi").select(
-        "lang", F.substring("text", 1, train_symbols).alias("text"))
+        small_side(few, 1_000_000), F.col("doc_id") == F.col("_id"), "left_semi").groupBy("lang", "doc_id").agg(
+        F.min(F.substring("text", 1, train_symbols)).alias("text")).select("lang", "text")
 
 
 def _predict(samples: dict[str, list[str]]):
