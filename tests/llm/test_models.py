@@ -1,6 +1,7 @@
 """Trained operators and the piece encoder: held-out accuracy, brute force, round trips, defined results for odd rows."""
 
 import random
+import zlib
 
 import pyarrow.parquet as pq
 import pytest
@@ -79,6 +80,38 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def language_share(spark, rows, truth):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    return [r["lang_pred"] == truth[r["doc_id"]] for r in language.language_digest(docs).collect() if r["doc_id"] in truth]
+
+
+def test_one_small_language_does_not_shrink_the_others(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) >= 200").select("doc_id", "text", "lang").collect()
+    known = [(r["doc_id"], r["text"], r["lang"]) for r in docs]
+    asked = [(10**9 + 3 * k, t[60:120], None) for k, (_, t, _) in enumerate(known)]
+    truth = {10**9 + 3 * k: lang for k, (_, _, lang) in enumerate(known)}
+    lone = next(i for i in range(2 * 10**9, 2 * 10**9 + 50) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rare = [(lone, "tere tulemast meie koju kus me elame ja laulame vanu laule " * 4, "et")]
+    right = language_share(spark, known + asked + rare, truth)
+    assert len(right) == len(known) and sum(right) >= 0.97 * len(right)
+
+
+def test_every_letter_counts_and_short_texts_teach(spark):
+    # two languages over the same 300 letters in other orders, one of two with other letters, and 200 common letters before them
+    def walk(base, step, at, n):
+        return "".join(chr(base + (at + k * step) % 300) for k in range(n))
+
+    rows, truth = [], {}
+    for i in range(60):
+        rows += [(10 * i, walk(0x4E00, 7, 13 * i, 260), "a"), (10 * i + 1, walk(0x4E00, 11, 13 * i, 260), "b"),
+                 (10 * i + 2, walk(0xAC00, 1, 13 * i, 60), "short"), (10 * i + 3, "the cat sat on the mat " * 20, "en")]
+        rows += [(10 * i + 5, walk(0x4E00, 11, 29 * i, 40), None), (10 * i + 6, walk(0x4E00, 7, 29 * i, 40), None),
+                 (10 * i + 7, walk(0xAC00, 1, 29 * i, 40), None)]
+        truth |= {10 * i + 5: "b", 10 * i + 6: "a", 10 * i + 7: "short"}
+    right = language_share(spark, rows, truth)
+    assert len(right) == 180 and sum(right) >= 178
+
+
 def test_automaton_accepts_exactly_the_factors():
     import numpy as np
 
