@@ -10,8 +10,9 @@ on whole texts.
 Why nothing is lost.  With similarity t, two similar sets of sizes n and m share at least ceil(t * max(n, m)) tokens.
 Order all tokens alike; then the first n - ceil(t * n) + k tokens of one set and the first m - ceil(t * m) + k of the
 other share at least k tokens, for any k up to the smaller overlap; k = SHARED for groups.  Any order will do, so tokens that stand in many groups (passages that many
-documents quote) are put last; which tokens those are changes the cost only.  Different sets of fewer than six tokens
-are never similar at 0.85, and SHARED tokens exist in every larger set.
+documents quote) are put last; which tokens those are changes the cost only.  Different sets of fewer tokens than
+``smallest_set`` (six at 0.85, four at 0.8) are never similar; two similar sets share at least that many tokens, so fewer than
+SHARED are asked where it is less.
 
 Defined results: null, blank and empty texts have an empty set and link with nothing; a text of fewer words than a
 shingle has its whole word sequence as its one shingle; a null id is skipped as a component id but keeps its row;
@@ -76,18 +77,28 @@ class Shingler:
         return np.unique(grams)
 
 
-def least_shared(n: int, part: int) -> int:
-    """Shared tokens asked of the prefixes of a set of ``n``: SHARED, or an n-th ``part`` of the set if that is more."""
-    return max(SHARED, n // part) if part else SHARED
+def smallest_set(pct: int) -> int:
+    """The fewest tokens of a set that is similar to a different one: n with n / (n + 1) at the limit or above."""
+    return -(-pct // (100 - pct)) if pct < 100 else 1 << 31
+
+
+def shared_tokens(pct: int) -> int:
+    """Shared tokens asked of every pair: SHARED, or the smallest set if that is less."""
+    return min(SHARED, smallest_set(pct))
+
+
+def least_shared(n: int, pct: int, part: int) -> int:
+    """Shared tokens asked of the prefixes of a set of ``n``: as of every pair, or an n-th ``part`` of the set if that is more."""
+    return max(shared_tokens(pct), n // part) if part else shared_tokens(pct)
 
 
 def prefix_length(n: int, pct: int, part: int = 0) -> int:
-    return min(n, n - ceil(pct * n / 100) + least_shared(n, part))
+    return min(n, n - ceil(pct * n / 100) + least_shared(n, pct, part))
 
 
-def _sketch(size: int):
+def _sketch(size: int, pct: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(size)
+        shingler, least = Shingler(size), smallest_set(pct)
         for batch in batches:
             out = []
             for text in batch["text"]:
@@ -97,7 +108,7 @@ def _sketch(size: int):
                         key = (int(t.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(t * _ODD[40] ^ (t >> np.uint64(17)))))
                         side = (t >> np.uint64(7)) % np.uint64(BANDS)
                     bands = [xxhash.xxh64_intdigest(t[side == b][:BAND_ROWS].tobytes(), b) - (1 << 63)
-                             for b in range(BANDS)] if len(t) >= 6 else []
+                             for b in range(BANDS) if len(t) >= 6 or (side == b).any()] if len(t) >= least else []
                     out.append((len(t), key[0] - (1 << 63), key[1] - (1 << 63), bands))
                 else:
                     out.append((0, 0, 0, []))
@@ -116,7 +127,7 @@ def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: b
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, held = Shingler(size), 0
+        shingler, least, held = Shingler(size), smallest_set(pct), 0
         nodes, groups, sizes, tokens = [], [], [], []
 
         def table() -> pd.DataFrame:
@@ -130,7 +141,7 @@ def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: b
         for batch in batches:
             for node, grp, text in pandas_rows([batch], "node", "grp", "text"):
                 t = shingler.tokens(text).view(np.int64)
-                if len(t) < 6:
+                if len(t) < least:
                     continue
                 p = prefix_length(len(t), pct, part)
                 often = np.zeros(len(t), bool)
@@ -203,7 +214,7 @@ def _matching(rows: DataFrame, pct: int) -> DataFrame:
     """
     met = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     rest = cut(rows.join(met, "token", "left_semi"))
-    asked = F.greatest(F.lit(SHARED), F.floor(F.col("n") * pct / (100 * PAIR_PART)))
+    asked = F.greatest(F.lit(shared_tokens(pct)), F.floor(F.col("n") * pct / (100 * PAIR_PART)))
     enough = (rest.groupBy("node").agg(F.count(F.lit(1)).alias("left"), F.max("n").alias("n"))
               .where(F.col("left") >= asked).select("node"))
     return cut(rest.join(enough, "node", "left_semi"))
@@ -212,7 +223,7 @@ def _matching(rows: DataFrame, pct: int) -> DataFrame:
 def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = cut(docs.mapInPandas(_sketch(size), "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
+    sketches = cut(docs.mapInPandas(_sketch(size, pct), "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     keyed = sketches.where("n > 0 and doc_id is not null")
     nodes = cut(keyed.groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
@@ -239,7 +250,7 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
     other = matrix.select("token", F.col("grp").alias("grp_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     fits = (F.col("hi_b") * 100 >= F.col("lo") * pct) & (F.col("hi") * 100 >= F.col("lo_b") * pct)
     opened = cut(matrix.join(other, "token").where((F.col("grp") < F.col("grp_b")) & fits)
-                 .groupBy("grp", "grp_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED)
+                 .groupBy("grp", "grp_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared_tokens(pct))
                  .select("grp", "grp_b"))
     if opened.isEmpty():
         edges = stars
@@ -252,7 +263,7 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
         close = (F.col("n_a") * 100 >= F.col("n_b") * pct) & (F.col("n_b") * 100 >= F.col("n_a") * pct)
         pairs = cut(first.join(second, ["grp_b", "token"]).where(close).groupBy("a", "b")
                     .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
-                    .where(F.col("shared") >= F.greatest(F.lit(SHARED), F.floor(F.col("n") / PAIR_PART))).select("a", "b"))
+                    .where(F.col("shared") >= F.greatest(F.lit(shared_tokens(pct)), F.floor(F.col("n") / PAIR_PART))).select("a", "b"))
         edges = stars.unionByName(_verified(pairs, texts, size, pct))
     labels = cut(connected_components(edges))
     named = nodes.select("n", "k1", "k2", "node").join(labels, "node", "left").select(

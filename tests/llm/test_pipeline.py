@@ -30,3 +30,10 @@ def test_stages_act_and_keep_columns(spark, tmp_path):
 
 def test_run_gives_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_copies_by_five_words_go(spark):
+    words = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "changed", *words[26:]])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_per_group(spark, docs, SF).collect()) == [1, 3]

@@ -73,6 +73,24 @@ def test_jaccard_join_on_given_documents(spark):
     assert got == components([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def near_pairs(texts, size, pct):
+    sets = {i: {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} for i, w in ((i, t.split()) for i, t in texts)}
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+            if 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]) and sets[a] & sets[b]}
+
+
+@pytest.mark.parametrize("size, pct", [(5, 80), (4, 70), (4, 60)])
+def test_jaccard_join_is_exact_for_small_sets(spark, size, pct):
+    texts = []
+    for k in range(40):
+        w = prose(1000 + k, size + 1 + k // 4).split()
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, f"end{k}"]))]
+    want = near_pairs(texts, size, pct)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(table(spark, texts), size, pct).collect()}
+    assert {(a, b) for a, b in itertools.combinations(sorted(got), 2) if got[a] == got[b]} == want
+    assert min(len(texts[a][1].split()) for a, _ in want) - size + 1 == max(2, jaccard_join.smallest_set(pct))
+
+
 def covered(texts, size=50):
     places, words = collections.defaultdict(set), {i: (t or "").encode().split() for i, t in texts if i is not None}
     for i, w in words.items():
