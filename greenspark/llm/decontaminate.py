@@ -4,10 +4,11 @@ Words are canonicalised: punctuation at the ends goes, letters become lower case
 number <unit>, a capitalised word inside a sentence <name>.  Windows of template tokens of the benchmark and of the
 documents are hash-joined; the replaced words of a joined window are its slots.  A document holds an item if the joined
 windows cover enough of it and the slots are consistent: one benchmark value always meets the same document value.
-So a question with other numbers or names is caught, while texts that share only a frame are not.
+So a question with other numbers or names is caught, while texts that share only a frame are not.  The windows of the plain
+lower-case words are joined as well, so that a copy in other case is found whatever stands as a name in it.
 
-Defined results: null and empty texts hold nothing; items under ``MIN_WINDOW`` tokens cannot be found; shorter items than a
-window are matched as a whole; repeated rows of one id count once; null ids form one group of their own; extra columns
+Defined results: null and empty texts hold nothing; shorter items than a window are matched as a whole, those under
+``MIN_WINDOW`` tokens by their plain words only; repeated rows of one id count once; null ids form one group of their own; extra columns
 stay unread.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greenspark.llm.common import small_side
@@ -71,8 +72,8 @@ class Templates:
         self._h[at] = xxhash.xxh64_intdigest(core.lower())
         self._f[at] = flags
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(template hashes, whether each is a slot, words)."""
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(plain hashes, template hashes, whether each is a slot, words)."""
         words = text.split() if text else []
         if len(self.memo) > MEMO_WORDS:
             self.clear()
@@ -80,7 +81,7 @@ class Templates:
             self._learn(w)
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if not len(at):
-            return np.empty(0, np.uint64), np.empty(0, bool), []
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), []
         h, f = self._h[at], self._f[at]
         ended = np.concatenate([[True], (f[:-1] & ENDS) > 0])
         keep = (f & EMPTY) == 0
@@ -93,8 +94,9 @@ class Templates:
         number = (f & NUMBER) > 0
         unit = ((f & UNIT) > 0) & np.concatenate([[False], number[:-1]]) if len(f) else number
         name = ((f & CAPITAL) > 0) & ~ended
+        plain = h
         h = np.where(number, _SLOT["<num>"], np.where(unit, _SLOT["<unit>"], np.where(name, _SLOT["<name>"], h)))
-        return h, number | unit | name, words
+        return plain, h, number | unit | name, words
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -113,21 +115,32 @@ def _slots(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def _windows(id_column: str, sizes: tuple[int, ...], seen: np.ndarray | None):
-    """(id, key, pos, size, n_tokens, slots) of the windows; with ``seen``, of those that may be in the benchmark."""
+    """(id, key, pos, size, n_tokens, slots) of the windows; with ``seen``, of those that may be in the benchmark.
+
+    Each window of plain words, without slots, and each template window that has a slot.  A text holds a whole short item once.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
         for batch in batches:
             out = []
             for ident, text in zip(batch[id_column].astype(object), batch["text"], strict=True):
-                h, slot, words = templates.read(text)
-                wanted = sizes if seen is not None else (min(WINDOW, len(h)),) if len(h) >= MIN_WINDOW else ()
-                for size in wanted:
-                    keys = window_hashes(h, size)
-                    at = range(len(keys)) if seen is None else np.flatnonzero(seen[keys >> np.uint64(64 - FILTER_BITS)])
-                    for i in at:
-                        out.append((None if pd.isna(ident) else int(ident), int(keys[i].astype(np.int64)), int(i), size, len(h),
-                                    _slots(words, slot, i, size)))
+                plain, h, slot, words = templates.read(text)
+                before = np.concatenate([[0], np.cumsum(slot)])
+                for size in sizes if seen is not None else (min(WINDOW, len(h)),) if len(h) else ():
+                    kinds = [(window_hashes(plain, size), False)]
+                    if size >= MIN_WINDOW and before[-1]:
+                        kinds.append((window_hashes(h, size), True))
+                    for keys, slotted in kinds:
+                        some = seen[keys >> np.uint64(64 - FILTER_BITS)] if seen is not None else np.ones(len(keys), bool)
+                        if slotted:
+                            some &= before[size:] > before[:-size]
+                        at = np.flatnonzero(some)
+                        if size < MIN_WINDOW and len(at):
+                            at = at[np.unique(keys[at], return_index=True)[1]]
+                        for i in at:
+                            out.append((None if pd.isna(ident) else int(ident), int(keys[i].astype(np.int64)), int(i), size, len(h),
+                                        _slots(words, slot, i, size) if slotted else []))
             made = pd.DataFrame(out, columns=["id", "key", "pos", "size", "n_tokens", "slots"])
             made["id"] = made["id"].astype("Int64")
             yield made
@@ -142,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_covered: int = MIN_COVERED)
     """(doc_id, item_id, n_covered, n_tokens, n_slots, reparameterised): the benchmark items that documents hold.
 
     An item counts as held if min(``min_covered``, all but the first, whose case may differ) of its tokens lie in joined windows on one diagonal, at least half of
-    them plain words, and at most a tenth of its slot values meet more than one document value.
+    them plain words or that many in windows with equal slots, and at most a tenth of its slot values meet more than one document value.
     """
     items = cut(benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text").mapInPandas(
         _windows("id", (WINDOW,), None), SCHEMA))
@@ -157,15 +170,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_covered: int = MIN_COVERED)
     joined = found.drop("n_tokens").join(small_side(b, BROADCAST_WINDOWS), ["key", "size"])
     joined = joined.where(F.size("slots") == F.size("values")).withColumn("shift", F.col("pos") - F.col("at"))
     by_diagonal = joined.groupBy("id", "item_id", "n_tokens", "shift", "size").agg(
-        F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "slots")))).alias("pairs"))
-    cover = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
+        F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("slots") == F.col("values"), F.col("at"))).alias("equal"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "slots")))).alias("pairs"))
+
+    def cover(places: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1)))))
+
     counted = by_diagonal.select(
-        "id", "item_id", "n_tokens", "size", F.size(cover).alias("n_covered"), F.size("pairs").alias("n_slots"),
+        "id", "item_id", "n_tokens", "size", cover("places").alias("n_covered"), cover("equal").alias("n_equal"), F.size("pairs").alias("n_slots"),
         F.size(F.array_distinct(F.transform("pairs", lambda p: p["values"]))).alias("n_values"),
         F.exists("pairs", lambda p: p["values"] != p["slots"]).alias("reparameterised"))
+    asked = F.least(F.lit(min_covered), F.greatest(F.col("n_tokens") - 1, F.col("size")))
     held = counted.where(
-        (F.col("n_covered") >= F.least(F.lit(min_covered), F.greatest(F.col("n_tokens") - 1, F.col("size"))))
-        & (F.col("n_slots") * 2 <= F.col("n_covered"))
+        (F.col("n_covered") >= asked)
+        & ((F.col("n_slots") * 2 <= F.col("n_covered")) | (F.col("n_equal") >= asked))
         & ((F.col("n_slots") - F.col("n_values")) * 10 <= F.col("n_values")))
     best = held.groupBy("id", "item_id").agg(F.max(F.struct("n_covered", "n_tokens", "n_slots", "reparameterised")).alias("m"))
     return best.select(F.col("id").alias("doc_id"), "item_id", *[

@@ -134,6 +134,20 @@ def test_leaks_find_other_numbers_and_names_if_slots_agree(spark):
     assert none.count() == 0
 
 
+def test_leaks_find_copies_full_of_slots_in_any_case_and_short_items(spark):
+    sums = "Compute 12 + 7 - 3 * 4 + 9 / 2 - 15 + 8"
+    named = "We know that Alice met Bob near Paris when Carol and Dave left Rome with Erin for Oslo"
+    title = "The Long Road From Old Lisbon To New Madrid By Way Of Sunny Green Valleys"
+    items = [(1, sums), (2, named), (3, title), (4, "Who won?"), (5, "42"), (6, "---")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    filler = prose(11, 30)
+    docs = table(spark, [(1, f"{filler} {sums} {filler}"), (2, named.lower()), (3, named.upper()), (4, title.upper()), (5, title),
+                         (6, f"{filler} who won {filler} who won"), (7, f"{filler} Compute 13 + 8 - 4 * 5 + 1 / 3 - 16 + 9"), (8, "won who 43 421"),
+                         (9, "so 42. " + filler)])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (6, 4), (9, 5)]
+
+
 def base(t):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
