@@ -1,7 +1,8 @@
 r"""Personal data: four kinds by rule, more by bootstrapped contexts.
 
 The rules find e-mail addresses, IP addresses, card and phone numbers.  They seed the bootstrap: the two words before a
-found identifier are a lexical pattern of its kind; every token with a digit or an at sign is an instance.  Patterns and
+found identifier are a lexical pattern of its kind; every token with a digit or an at sign is an instance, and tokens that only a
+blank (or a hyphen or dot in blanks) parts, digits or a bracket on both sides, are one.  Patterns and
 instances form a graph that is scored in rounds: a pattern by the mean score of its instances, an instance by the mean
 score of its patterns, seeds fixed at one.  Instances without a span that follow a pattern of high score and enough distinct
 seeds become spans of the pattern's kind.
@@ -34,6 +35,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"[0-9][0-9\x01]*[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+BETWEEN_GROUPS = r"(?<=[0-9)]|[0-9)]\x20[.-])\x20(?=\(?[0-9]|[.-]\x20\(?[0-9])"
 SPAN = "array<struct<kind:int,start:int,end:int,found:string>>"
 
 
@@ -88,10 +90,11 @@ def base_spans(text: Column) -> Column:
 
 
 def _instances(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, kind or null, instance, pattern) of every token with a digit or an at sign."""
+    """(doc_id, text_key, start, end, kind or null, instance, pattern) of every token with a digit or an at sign, digit groups joined."""
     having = docs.where(F.col("text").rlike("[0-9@]")).select(
         "doc_id", F.unhex(F.md5("text")).alias("text_key"), "text", base_spans(F.col("text")).alias("base"))
-    tokens = having.select("doc_id", "text_key", "text", "base", F.explode(_placed(F.col("text"), TOKEN, -1)).alias("t"))
+    tokens = having.select("doc_id", "text_key", "text", "base", F.explode(
+        let(F.regexp_replace("text", BETWEEN_GROUPS, MARK), lambda t: _placed(t, TOKEN, -1))).alias("t"))
     start, end = F.col("t")["start"], F.col("t")["end"]
     seed = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > start))
     before = F.substring(F.col("text"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))

@@ -190,6 +190,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[20] == "please call me at <phone> thanks" and masked[21] == "version 2 of it" and masked[0] == "please call me at <phone> thanks"
 
 
+@pytest.mark.parametrize("number", ["415 555 0199", "(415) 555 0199", "41 55 50 19 9", "415 - 555 - 0199", "123 456 789", "415-555 01.99"])
+def test_contexts_find_identifiers_in_groups(spark, number):
+    texts = [(i, f"please call me at +1 (415) 555-01{i:02d} thanks") for i in range(8)]
+    texts += [(20, f"é please call me at {number} thanks"), (21, "chapter 12 34 of 5")]
+    masked = {r["doc_id"]: r["text"] for r in pii.redacted(table(spark, texts)).collect()}
+    assert masked[20] == "é please call me at <phone> thanks" and masked[21] == "chapter 12 34 of 5"
+
+
 def test_quality_rules_remove_frequent_lines(spark):
     line, rows = "Share this page with your friends", []
     for i in range(40):
