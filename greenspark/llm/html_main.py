@@ -8,8 +8,9 @@ ascent on the likelihood (forward-backward) and decoded by Viterbi.
 The labelled pages are made by rule from lists of content and furniture wrappers, see ``labelled_pages``.
 
 Defined results: a null or empty page has an empty text; unclosed and unopened tags are repaired as a browser would
-(a new paragraph ends the last one, a closing tag ends all tags inside it); comments, scripts, styles and markup never reach
-the text; a page without any content block gives an empty text; repeated rows give equal rows; ties in the decoding go to furniture;
+(a new paragraph ends the last one, a closing tag ends all tags inside it); comments, scripts, styles, drawings, templates and
+markup never reach the text; a drawing ends where a paragraph or the like starts in it; a drawing, template, noscript or iframe that is
+closed in its own tag or nowhere is empty, so the text after it stays; a page without any content block gives an empty text; repeated rows give equal rows; ties in the decoding go to furniture;
 other columns stay unread.
 """
 
@@ -28,7 +29,11 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section select summary table tbody
 td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe".split())
+RAW = frozenset("script style textarea iframe".split())
+DROPPED = frozenset("svg template noscript".split())
+ENDS_SVG = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta
+nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+IN_SVG = frozenset("foreignobject desc title template noscript".split())
 ENDS_PARAGRAPH = BLOCK - {"option", "optgroup"}
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",)}
@@ -47,6 +52,8 @@ def blocks_of(html: str | None) -> list[tuple[str, tuple[str, ...], float, bool]
     stack: list[tuple[str, tuple[str, ...], bool]] = [("#", (), False)]
     parts: list[str] = []
     linked = 0
+    hidden = 0  # place in the stack of the outermost dropped element
+    last: dict[str, int] = {}
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -67,10 +74,15 @@ def blocks_of(html: str | None) -> list[tuple[str, tuple[str, ...], float, bool]
             if within is not None and stack[k][0] in within:
                 return
 
+    def closed_later(name: str) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(f"</{name}(?![a-z0-9:-])", html, re.I)), default=-1)
+        return last[name] >= at
+
     while at < end:
         found = _TOKEN.search(html, at)
         text = html[at:found.start() if found else end]
-        if text:
+        if text and not hidden:
             parts.append(text)
             if any(t == "a" for t, _, _ in stack[-4:]):
                 linked += len(text.strip())
@@ -83,16 +95,37 @@ def blocks_of(html: str | None) -> list[tuple[str, tuple[str, ...], float, bool]
             continue
         name = name.group(1).lower()
         if tag[1] == "/":
-            if name in BLOCK:
+            if hidden:
+                inside = any(t == name for t, _, _ in stack[hidden:])
+                if not inside and all(t != name for t, _, _ in stack):
+                    continue
+            if name in BLOCK and not (hidden and inside):
                 flush()
             close((name,))
+            hidden = hidden if len(stack) > hidden else 0
             continue
         if name in RAW:
+            if name == "iframe" and not closed_later(name):
+                continue
             stop = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else end
-            if name in ("textarea", "iframe"):
+            if name in ("textarea", "iframe") and not hidden:
                 parts.append(" ")
             continue
+        if hidden and name in ENDS_SVG:
+            within = next(t for t, _, _ in reversed(stack) if t in IN_SVG or t in DROPPED)
+            if within == "svg":
+                close(("svg",))
+                hidden = hidden if len(stack) > hidden else 0
+        if name in DROPPED and not hidden:
+            if not tag.endswith("/>") and closed_later(name):
+                hidden = len(stack)
+                stack.append((name, *stack[-1][1:]))
+            continue
+        if hidden:
+            if name not in VOID and not tag.endswith("/>"):
+                stack.append((name, *stack[-1][1:]))
+            continue
         if name == "br":
             parts.append(" ")
         if name in BLOCK:

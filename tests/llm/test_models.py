@@ -175,6 +175,17 @@ def test_html_text_of_given_and_odd_pages(spark, field):
     assert got[4]["text"] == "T & U\n\nA b\n\nC d" and got[6]["n_chars"] == 50_000 * 5 - 1
 
 
+@pytest.mark.parametrize("odd", ['<svg viewBox="0 0 1 1"/>', "<svg><path d='M0'>", "<template>", "<noscript>", "<iframe src=x>", "<svg><title>icon</title><g></g></svg>",
+                                 "<svg><foreignObject><p>icon</p></foreignObject></svg>", "<template><p>icon</p><div>icon</div></template>",
+                                 "<noscript><p>icon</p><script>'</noscript>'</script></noscript>"])
+def test_html_text_around_dropped_elements_stays(odd):
+    def texts(page):
+        return [b[0] for b in html_main.blocks_of(page)]
+
+    assert texts(f"<article><p>one {odd} two</p><p>three</p></article><p>four</p>") == ["one two", "three", "four"]
+    assert texts(f"<article>{odd}<p>one</p></article><p>two</p><svg><text>icon</text></svg><p>three</p>") == ["one", "two", "three"]
+
+
 def test_viterbi_equals_all_label_sequences(field):
     import itertools
 
