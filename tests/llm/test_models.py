@@ -95,6 +95,12 @@ def test_one_small_language_does_not_shrink_the_others(spark):
     right = language_share(spark, known + asked + rare, truth)
     assert len(right) == len(known) and sum(right) >= 0.97 * len(right)
 
+    def scores(rows):
+        found = language.language_digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+        return sum(r["score"] for r in found if r["doc_id"] in truth)
+
+    assert scores(known + asked + rare) >= 0.99 * scores(known + asked)
+
 
 def test_every_letter_counts_and_short_texts_teach(spark):
     # two languages over the same 300 letters in other orders, one of two with other letters, and 200 common letters before them
