@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from greenspark.llm import decontaminate, html_main, jaccard_join, language, pieces, pii, quality_rules, sharding, suffix_dedup, url_filter
+from greenspark.llm import (decontaminate, hard_negatives, html_main, jaccard_join, language, pieces, pii, quality_rules, runs, sharding,
+                            suffix_dedup, url_filter, warc_zip)
 from greenspark.llm.common import read
 
 
@@ -46,6 +47,18 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_warc_zip(spark, sf_dir):
+    return warc_zip.warc_digest(read(spark, sf_dir, "pages"))
+
+
+def op12_runs(spark, sf_dir):
+    return runs.runs_digest(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.negatives_digest(read(spark, sf_dir, "embeddings"))
+
+
 CHECKS = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -57,4 +70,7 @@ CHECKS = {
     "op9_html_main": (op9_html_main, None),
     "op10_jaccard_join": (op10_jaccard_join, None),
     "op6_url_filter": (op6_url_filter, None),
+    "op11_warc_zip": (op11_warc_zip, warc_zip.SQL),
+    "op12_runs": (op12_runs, None),
+    "op13_hard_negatives": (op13_hard_negatives, hard_negatives.SQL),
 }
