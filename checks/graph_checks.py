@@ -159,6 +159,53 @@ def anomalies(spark, sf):
     return plan.build_anomalies(T.model_areas(spark, sf), None, 25832, vertex_matched=True, trained=_trained(spark, sf))[0]
 
 
+def prediction_rows(spark, sf):
+    """Every area once, its residual the difference and its z the residual over the spread of all residuals."""
+    rows = _trained(spark, sf).predictions
+    sd = rows.agg(F.stddev_pop("residual")).scalar()
+    return rows.select(
+        "MSOA21CD", F.round("actual_ndvi", 8).alias("actual_ndvi"),
+        (F.abs(F.col("actual_ndvi") - F.col("predicted_ndvi") - F.col("residual")) < 1e-12).alias("residual_fits"),
+        (F.abs(F.col("residual_z") * sd - F.col("residual")) < 1e-9).alias("z_fits"),
+        F.col("predicted_ndvi").between(-1, 1).alias("in_range"))
+
+
+PREDICTION_ROWS_SQL = f"""
+SELECT MSOA21CD, mean_ndvi_late AS actual_ndvi, true AS residual_fits, true AS z_fits, true AS in_range FROM ({FEATURES_SQL})"""
+
+
+def cv_rows(spark, sf):
+    return _trained(spark, sf).scores.select("model", "fold", (F.col("r2") <= 1).alias("bounded"))
+
+
+CV_ROWS_SQL = "SELECT model, CAST(fold AS INTEGER) AS fold, true AS bounded FROM (VALUES ('extra_trees'), ('random_forest')) m(model), range(5) f(fold)"
+
+
+def importance_rows(spark, sf):
+    rows = _trained(spark, sf).importances
+    total = rows.agg(F.sum("importance")).scalar()
+    return rows.select("base_feature", (F.col("importance") >= 0).alias("counted"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+IMPORTANCE_ROWS_SQL = "SELECT unnest([{}]) AS base_feature, true AS counted, true AS sums_to_one".format(
+    ", ".join(f"'{c}'" for c in features.FEATURES))
+
+
+def anomaly_rows(spark, sf):
+    """The score recomputed from z and label, next to the keys and values that SQL knows."""
+    rows = anomalies(spark, sf)
+    bonus = F.create_map(*[F.lit(x) for pair in {"LL": 0.75, "LH": 0.35, "HL": 0.15, "HH": 0.0, "NS": 0.0}.items() for x in pair])
+    score = F.when(F.col("residual_z") < 0, -F.col("residual_z")).otherwise(0.0) + bonus[F.col("lisa_cluster")]
+    return rows.select(
+        "MSOA21CD", F.round("actual_ndvi", 8).alias("actual_ndvi"),
+        (F.abs(F.col("actual_ndvi") - F.col("predicted_ndvi") - F.col("residual")) < 1e-12).alias("residual_fits"),
+        (F.abs(score - F.col("surprise_score")) < 1e-12).alias("score_fits"), F.col("gi_p").between(0, 1).alias("p_fits"))
+
+
+ANOMALY_ROWS_SQL = f"""
+SELECT MSOA21CD, mean_ndvi_late AS actual_ndvi, true AS residual_fits, true AS score_fits, true AS p_fits FROM ({FEATURES_SQL})"""
+
+
 def borough_effects(spark, sf):
     return forest.group_effects(_predictions(spark, sf), "borough").select(
         "borough", "n", *[F.round(c, 8).alias(c) for c in ("mean", "shrinkage", "effect")])
@@ -453,8 +500,12 @@ CHECKS = {
     "manifest_hash": (manifest_hash, None),
 }
 
-# Full-size training takes minutes in local mode: these come last.
+# Full-size training takes longest: these come last.
 MODEL_CHECKS = {
+    "prediction_rows": (prediction_rows, PREDICTION_ROWS_SQL),
+    "cv_rows": (cv_rows, CV_ROWS_SQL),
+    "importance_rows": (importance_rows, IMPORTANCE_ROWS_SQL),
+    "anomaly_rows": (anomaly_rows, ANOMALY_ROWS_SQL),
     "cv_scores": (cv_scores, None),
     "importances": (importances, None),
     "predictions": (predictions, None),
