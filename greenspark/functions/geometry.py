@@ -158,7 +158,7 @@ def _clean_ring(ring: Column) -> Column:
 def normalise(geom: Column) -> Column:
     """Closed rings without repeats or zero area; shell counter-clockwise, holes clockwise.
 
-    Self-crossing rings are not repaired: ``kernels.is_simple`` flags them.
+    Crossing rings stay as they are: see ``greenspark.functions.repair``.
     """
     def orient(ring, i):
         signed = edges_area(ring_edges(ring))

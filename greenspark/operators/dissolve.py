@@ -1,4 +1,8 @@
-"""Union of vertex-matched tilings: shared sides cancel, the rest is the outline."""
+"""Union of tilings: shared sides cancel, the rest is the outline.
+
+Sides cancel piece by piece, so in a tiling with T-junctions (a corner in the middle of a neighbour's side) they are first
+cut at the corners that lie on them.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,47 @@ from pyspark.sql import functions as F
 
 from greenspark.functions import geometry as G
 from greenspark.operators.lineage import cut
+from greenspark.operators.spatial import box_join
+
+
+def split_at_corners(edges: DataFrame, groups: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Edges ``(groups, x1, y1, x2, y2)`` cut at the corners of their group that lie on them.
+
+    Corners and edges meet in grid cells of the size of the edge.  A corner cuts an edge if it is within ``tolerance`` of it and away
+    from its ends; corners within ``tolerance`` of each other must be equal.
+    """
+    named = cut(edges.select(*groups, "x1", "y1", "x2", "y2").withColumn("_edge", F.monotonically_increasing_id()))
+    margin = F.lit(tolerance)
+    boxed = named.withColumn("_ebox", G.box(F.least("x1", "x2") - margin, F.least("y1", "y2") - margin,
+                                            F.greatest("x1", "x2") + margin, F.greatest("y1", "y2") + margin))
+    corners = edges.select(*[F.col(g).alias(f"_c_{g}") for g in groups], F.col("x1").alias("_px"), F.col("y1").alias("_py")).distinct()
+    corners = corners.withColumn("_pbox", G.box(F.col("_px"), F.col("_py"), F.col("_px"), F.col("_py")))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length = F.hypot(dx, dy)
+    along = ((F.col("_px") - F.col("x1")) * dx + (F.col("_py") - F.col("y1")) * dy) / length
+    away = F.abs((F.col("_px") - F.col("x1")) * dy - (F.col("_py") - F.col("y1")) * dx) / length
+    met = box_join(boxed, corners, "_ebox", "_pbox")
+    for g in groups:
+        met = met.where(F.col(g).eqNullSafe(F.col(f"_c_{g}")))
+    on = met.where((away <= tolerance) & (along > tolerance) & (along < length - tolerance))
+    cuts = on.groupBy("_edge").agg(F.array_sort(F.collect_set(F.struct(along.alias("at"), F.col("_px").alias("x"), F.col("_py").alias("y")))).alias("_cuts"))
+    inner = F.coalesce(F.transform("_cuts", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))), F.array().cast("array<struct<x:double,y:double>>"))
+    chain = F.concat(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))), inner,
+                     F.array(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+    return (named.join(cuts, "_edge", "left").select(*groups, F.explode(G.ring_edges(chain)).alias("_e"))
+            .select(*groups, "_e.x1", "_e.y1", "_e.x2", "_e.y2"))
 
 
-def dissolved_edges(areas: DataFrame, groups: list[str], geom: str = "geom") -> DataFrame:
-    """Directed outline edges per group.
+def dissolved_edges(areas: DataFrame, groups: list[str], geom: str = "geom", t_junctions: bool = False) -> DataFrame:
+    """Directed outline edges per group; ``t_junctions`` cuts sides at foreign corners first.
 
     A side used in both directions lies between two areas of the group.  Counting it with its
     sign needs one aggregation with map-side combine, whatever the size of a group.  The edge
     table is a complete description of the union: area, centroid, containment and overlap work on it.
     """
     rows = areas.select(*groups, F.explode(G.edges(F.col(geom))).alias("e")).select(*groups, "e.*")
+    if t_junctions:
+        rows = split_at_corners(rows, groups)
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
 
     def low_first(a, b):
@@ -35,14 +70,14 @@ def dissolved_edges(areas: DataFrame, groups: list[str], geom: str = "geom") ->
                       directed("bx", "ax").alias("x2"), directed("by", "ay").alias("y2"))
 
 
-def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom") -> DataFrame:
+def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom", t_junctions: bool = False) -> DataFrame:
     """One closed ring per row, stitched from the outline edges by pointer doubling.
 
     Every edge points to the edge that starts where it ends (the sharpest right turn where four
     edges meet, which keeps touching rings apart).  In each round an edge learns the smallest
     edge id within twice the distance, so a ring of n edges is done after log2(n) joins.
     """
-    edges = dissolved_edges(areas, groups, geom)
+    edges = dissolved_edges(areas, groups, geom, t_junctions)
     heading = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     named = edges.select(*groups, "x1", "y1", "x2", "y2", heading.alias("heading"),
                          F.concat_ws(",", "x1", "y1", "x2", "y2").alias("id"))

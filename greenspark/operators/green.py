@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from greenspark.functions import geometry as G
 from greenspark.functions import kernels as K
+from greenspark.functions.repair import make_valid
 from greenspark.operators import spatial
 from greenspark.operators.coverage import union_area
 from greenspark.operators.nearest import nearest
@@ -49,9 +50,9 @@ def access_class(kind: Column) -> Column:
 
 
 def unify(land_use: DataFrame, land_cover: DataFrame) -> DataFrame:
-    """Both sources in one table with provenance, access class, clean geometry and its shape columns."""
+    """Both sources in one table with provenance, access class, repaired geometry and its shape columns."""
     both = land_use.unionByName(land_cover)
-    clean = (spatial.once(both.withColumnRenamed("geom", "_raw"), "geom", G.normalise(F.col("_raw")))
+    clean = (spatial.once(both.withColumnRenamed("geom", "_raw"), "geom", G.normalise(make_valid("_raw")))
              .drop("_raw").where(F.size("geom") > 0)
              .withColumn("access_class", access_class(F.col("kind"))))
     return spatial.with_shape(clean, "geom", "g_edges", "g_box")

@@ -6,6 +6,10 @@ operators that look at other pixels shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,43 @@ def explode_tiles(tiles: DataFrame, value: str = "value") -> DataFrame:
                      (a["a"] * c + a["b"] * r + a["c"]).alias("x"), (a["d"] * c + a["e"] * r + a["f"]).alias("y"), value)
 
 
+_TILE = "tile_r int, tile_c int, values array<double>"
+
+
+def tile_table(pixels: DataFrame, value: str, tile_size: int, affine: tuple[float, ...], raster_id: str = "raster", band: str = "band") -> DataFrame:
+    """Pixels ``(row, col, value)`` of one raster as full tiles; pixels that are not there are NULL.
+
+    Pixels are sorted by tile, so a task fills one tile after the other; of pixels in one place the largest value counts.
+    """
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, values = None, None
+        for batch in batches:
+            keys, at, v = batch[["tile_r", "tile_c"]].to_numpy(), batch["_at"].to_numpy(), batch["_v"].to_numpy()
+            starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1) if len(keys) else []
+            done = []
+            for first, last in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+                if tuple(keys[first]) != key:
+                    if key is not None:
+                        done.append((*key, values))
+                    key, values = tuple(keys[first]), np.full(tile_size * tile_size, np.nan)
+                values[at[first:last]] = v[first:last]
+            yield pd.DataFrame(done, columns=["tile_r", "tile_c", "values"])
+        if key is not None:
+            yield pd.DataFrame([(*key, values)], columns=["tile_r", "tile_c", "values"])
+
+    single = pixels.groupBy("row", "col").agg(F.max(value).alias("_v")).where("_v is not null")
+    placed = single.select(F.floor(F.col("row") / tile_size).cast("int").alias("tile_r"), F.floor(F.col("col") / tile_size).cast("int").alias("tile_c"),
+                           (F.pmod("row", F.lit(tile_size)) * tile_size + F.pmod("col", F.lit(tile_size))).cast("int").alias("_at"),
+                           F.col("_v").cast("double").alias("_v"))
+    tiles = placed.repartition("tile_r", "tile_c").sortWithinPartitions("tile_r", "tile_c").mapInPandas(filled, _TILE)
+    side = F.lit(tile_size)
+    names = ("a", "b", "c", "d", "e", "f")
+    return tiles.select(
+        F.lit(raster_id).alias("raster_id"), F.lit(band).alias("band"), "tile_r", "tile_c", side.alias("h"), side.alias("w"), side.alias("tile_size"),
+        F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, affine, strict=True)]).alias("affine"),
+        F.transform("values", lambda v: F.when(~F.isnan(v), v)).alias("values"))
+
+
 def mosaic_mean(obs: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     """Per pixel mean over scenes of the valid (positive) values of each band.
 
