@@ -10,7 +10,8 @@ their joined text gives the same two pieces, and exactly one admissible path lea
 the public library.
 
 No piece holds a space mark after another character, so paths always meet before a space; the ids of such a stretch
-depend on the stretch alone and are remembered (the last ``MEMO`` to 2 * ``MEMO`` of them; results do not depend on it).
+depend on the stretch alone.  Every distinct stretch goes through the lattice once and the ids of texts are joined from the stretches'
+(the table begins anew after ``MEMO_CHARS`` characters; results do not depend on it).
 
 Defined results: null gives null ids, empty text an empty list; characters outside the vocabulary become their bytes;
 control pieces in a text are ordinary text; repeated rows give equal rows; other columns are kept.
@@ -19,15 +20,19 @@ control pieces in a text are ordinary text; repeated rows give equal rows; other
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO = 400_000
-MEMO_LENGTH = 64
+MEMO_CHARS = 8_000_000
+AT_ONCE = 512  # texts encoded together
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -57,7 +62,7 @@ class PieceModel:
         self.vocabulary, self.byte_ids, self.unknown, self.control = vocabulary, byte_ids, unknown, control
         self.longest = max(map(len, vocabulary), default=1)
         self.letters = set("".join(vocabulary))
-        self.endings = {p[k:] for p in vocabulary for k in range(len(p))}
+        self.forms = {p[k:]: False for p in vocabulary for k in range(len(p))} | dict.fromkeys(vocabulary, True)  # endings of pieces
         self.splits = not any(MARK in p.lstrip(MARK) for p in vocabulary)
         self.byte_value = {i: b for b, i in byte_ids.items()}
         self.high = {i for i, b in self.byte_value.items() if b > 127}
@@ -66,10 +71,15 @@ class PieceModel:
         self.worst = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.own: dict[str, tuple[str, str] | None] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: Stretches | None = None
         self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if "\n" not in self.letters else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    def stretches(self) -> Stretches:
+        """The table of stretches, begun anew when it holds ``MEMO_CHARS`` characters."""
+        if self.known is None or self.known.chars > MEMO_CHARS:
+            self.known = Stretches(self)
+        return self.known
+
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes a piece, found by merging its characters; None for one character."""
         known = self.own.get(piece, 0)
@@ -130,46 +140,37 @@ class PieceModel:
         return [self.unknown]
 
 
-def viterbi_stream(model: PieceModel, text: Iterator[str]) -> Iterator[list[str]]:
-    """Pieces of the characters of ``text``, given out as soon as all surviving paths agree on a boundary.
+def viterbi_stream(model: PieceModel, text: Iterable[str]) -> Iterator[list[str]]:
+    """Pieces of the characters of ``text`` (given in blocks), given out as soon as all surviving paths agree on a boundary.
 
     ``tail`` holds the characters since the last agreed boundary, after the piece before it (``lead`` characters, given
-    out already), which the next piece must fit.  ``ends[p]`` is (score, length) of the best piece that ends at ``p``.
+    out already), which the next piece must fit.  ``last[p]`` is the last piece of the best path to ``p``, None without a path.
     """
     window, tail, lead = model.longest, "", 0
-    ends: list[tuple[float, int]] = [(0.0, 0)]
+    last: list[str | None] = [""]
+    scores = [0.0]
 
     def path(upto: int) -> list[int]:
         cuts = []
         while upto > 0:
             cuts.append(upto)
-            upto -= ends[upto][1]
+            upto -= len(last[upto])
         return cuts[::-1]
 
     def pieces(cuts: list[int]) -> list[str]:
         return [tail[a:b] for a, b in zip([0, *cuts], cuts, strict=False)][1 if lead else 0:]
 
-    for char in text:
-        tail += char
-        here, best = len(tail), None
-        for length in range(1, min(window, here) + 1):
-            piece, before = tail[here - length:here], here - length
-            if length > 1 and piece not in model.endings:
-                break
-            entry = model.vocabulary.get(piece)
-            if (entry is None and length > 1) or ends[before][1] < 0:
+    extend = _extend_stable if model.kind == "bpe" else _extend_scored
+    tried = 0
+    for block in text:
+        for k in range(0, len(block), window):
+            tail += block[k:k + window]
+            extend(model, tail, last, scores)
+            here = len(tail)
+            if here < max(2 * window, tried + window):
                 continue
-            if model.kind == "bpe":
-                last = tail[before - ends[before][1]:before]
-                if (length == 1 or model.is_stable(piece)) and (not last or model.are_neighbours(last, piece)):
-                    best = (0.0, length)
-            else:
-                score = ends[before][0] + (entry[1] if entry else model.worst)
-                if best is None or score > best[0]:
-                    best = (score, length)
-        ends.append(best or (0.0, -1))
-        if here >= 2 * window and here % window == 0:
-            alive = [path(p) for p in range(here - window + 1, here + 1) if ends[p][1] > 0]
+            tried = here
+            alive = [path(p) for p in range(here - window + 1, here + 1) if last[p]]
             agreed = 0
             for agreed, steps in enumerate(zip(*alive, strict=False)):
                 if len(set(steps)) > 1:
@@ -179,44 +180,86 @@ def viterbi_stream(model: PieceModel, text: Iterator[str]) -> Iterator[list[str]
             cuts = alive[0][:agreed]
             if len(cuts) > (1 if lead else 0):
                 yield pieces(cuts)
-                start = cuts[-2] if len(cuts) > 1 else 0
-                lead = cuts[-1] - start
-                tail = tail[start:]
-                ends = [(0.0, 0), *[(0.0, -1)] * (lead - 1), (ends[cuts[-1]][0], lead), *ends[cuts[-1] + 1:]]
+                start, end = cuts[-2] if len(cuts) > 1 else 0, cuts[-1]
+                lead = end - start
+                tail, tried = tail[start:], here - start
+                last[:] = ["", *[None] * (lead - 1), last[end], *last[end + 1:]]
+                del scores[:start]
     yield pieces(path(len(tail)))
 
 
-def short_path(model: PieceModel, text: str) -> list[str]:
-    """Pieces of a short stretch of a merge vocabulary: the same lattice in one go.
-
-    One admissible path leads to each position, so the longest piece that fits its neighbour is the one.
-    """
-    endings, vocabulary, pairs, window = model.endings, model.vocabulary, model.pairs, model.longest
-    last = [""]
-    for here in range(1, len(text) + 1):
+def _extend_stable(model: PieceModel, tail: str, last: list[str | None], scores: list[float]) -> None:
+    """Merge vocabulary: one admissible path leads to each position, so the longest stable piece that fits its neighbour is the one."""
+    forms, pairs, window = model.forms.get, model.pairs, model.longest
+    is_stable, are_neighbours = model.is_stable, model.are_neighbours
+    for here in range(len(last), len(tail) + 1):
         starts = []
         for before in range(here - 2, max(here - window, 0) - 1, -1):
-            piece = text[before:here]
-            if piece not in endings:
+            whole = forms(tail[before:here])
+            if whole is None:
                 break
-            if piece in vocabulary:
+            if whole and last[before] is not None:
                 starts.append(before)
-        found = text[here - 1]
-        while starts:
-            before = starts.pop()
-            piece, left = text[before:here], last[before]
-            if not model.is_stable(piece):
-                continue
-            known = pairs.get((left, piece)) if left else True
-            if known or (known is None and model.are_neighbours(left, piece)):
+        found = None
+        for before in reversed(starts):
+            left, piece = last[before], tail[before:here]
+            known = pairs.get((left, piece)) if left else is_stable(piece)
+            if known or (known is None and is_stable(piece) and are_neighbours(left, piece)):
                 found = piece
                 break
+        else:
+            left = last[here - 1]
+            if left is not None and (not left or are_neighbours(left, tail[here - 1])):
+                found = tail[here - 1]
         last.append(found)
-    pieces, at = [], len(text)
-    while at:
-        pieces.append(last[at])
-        at -= len(last[at])
-    return pieces[::-1]
+
+
+def _extend_scored(model: PieceModel, tail: str, last: list[str | None], scores: list[float]) -> None:
+    """Unigram vocabulary: the largest sum of scores, the shortest last piece of equals."""
+    for here in range(len(last), len(tail) + 1):
+        best, found = 0.0, None
+        for length in range(1, min(model.longest, here) + 1):
+            before = here - length
+            piece = tail[before:here]
+            if length > 1 and piece not in model.forms:
+                break
+            entry = model.vocabulary.get(piece)
+            if (entry is None and length > 1) or last[before] is None:
+                continue
+            score = scores[before] + (entry[1] if entry else model.worst)
+            if found is None or score > best:
+                best, found = score, piece
+        last.append(found)
+        scores.append(best)
+
+
+class Stretches(dict):
+    """Codes of stretches; ``flat[starts[code]:starts[code + 1]]`` are the ids, found by the lattice when first asked for."""
+
+    def __init__(self, model: PieceModel):
+        self.model, self.flat, self.starts, self.same, self.chars = model, array("i"), array("q", [0]), array("b"), 0
+
+    def __missing__(self, stretch: str) -> int:
+        code, model, ids = len(self.same), self.model, []
+        vocabulary = model.vocabulary
+        for some in viterbi_stream(model, (stretch,)):
+            for piece in some:
+                entry = vocabulary.get(piece)
+                if entry:
+                    ids.append(entry[0])
+                else:
+                    ids += model.ids_of(piece)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        self.same.append(_shown(model, ids) == stretch)
+        self.chars += len(stretch)
+        self[stretch] = code
+        return code
+
+
+def _parts(model: PieceModel, text: str) -> list[str]:
+    marked = MARK + text.replace(" ", MARK)
+    return model.stretch.findall(marked) if model.splits else [marked]
 
 
 def encode(model: PieceModel, text: str | None) -> list[int] | None:
@@ -224,61 +267,84 @@ def encode(model: PieceModel, text: str | None) -> list[int] | None:
         return None
     if not text:
         return []
-    marked, ids = MARK + text.replace(" ", MARK), []
-    for part in model.stretch.findall(marked) if model.splits else [marked]:
-        known = model.memo.get(part)
-        if known is None:
-            known = model.older.get(part)
-            if known is not None:
-                model.memo[part] = known
-        if known is None:
-            if model.kind == "bpe" and len(part) <= MEMO_LENGTH:
-                found = short_path(model, part)
-            else:
-                found = (p for some in viterbi_stream(model, iter(part)) for p in some)
-            known = tuple(i for p in found for i in model.ids_of(p))
-            if len(part) <= MEMO_LENGTH:
-                if len(model.memo) >= MEMO:
-                    model.older, model.memo = model.memo, {}
-                model.memo[part] = known
-        ids.extend(known)
-    return ids
+    table = model.stretches()
+    codes = [table[p] for p in _parts(model, text)]
+    return [i for c in codes for i in table.flat[table.starts[c]:table.starts[c + 1]]]
+
+
+def encode_batch(model: PieceModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
+    """(ids of all texts, number of ids of each, whether decoding gives the text again); every distinct stretch is encoded and decoded once.
+
+    Texts are joined from stretches: where all of a text's stretches come back, the text does, unless it holds the space mark itself.
+    """
+    table = model.stretches()
+    codes, sizes = [], []
+    for text in texts:
+        found = list(map(table.__getitem__, _parts(model, text))) if text else []
+        sizes.append(len(found))
+        codes.extend(found)
+    at, flat, starts = np.array(codes, np.int64), np.array(table.flat, np.int32), np.array(table.starts)
+    lengths = starts[at + 1] - starts[at]
+    ends = np.cumsum(lengths)
+    ids = flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.diff(np.concatenate([[0], ends])[cuts])
+    lost = np.concatenate([[0], np.cumsum(~np.array(table.same, bool)[at])])[cuts]
+    last, back = 0, []
+    for text, n, n_lost in zip(texts, counts.tolist(), np.diff(lost).tolist(), strict=True):
+        if text is None:
+            back.append(None)
+        elif n_lost:
+            back.append(decode(model, ids[last:last + n].tolist()) == text)
+        else:
+            back.append(MARK not in text)
+        last += n
+    return ids, counts, back
 
 
 def decode(model: PieceModel, ids: list[int] | None) -> str | None:
     """The text of ids; a wrong byte sequence becomes U+FFFD, control pieces vanish."""
     if ids is None:
         return None
-    if model.high.isdisjoint(ids):
-        text = "".join(map(model.shown.__getitem__, ids))
-    else:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in model.byte_value:
-                raw.append(model.byte_value[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(model.shown[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-    text = text.replace(MARK, " ")
+    text = _shown(model, ids).replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
-def _rows(proto: bytes, kind: str, columns: list[str]):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = PieceModel(proto, kind)
+def _shown(model: PieceModel, ids: list[int]) -> str:
+    """The characters of ids, space marks included."""
+    if model.high.isdisjoint(ids):
+        return "".join(map(model.shown.__getitem__, ids))
+    out, raw = [], bytearray()
+    for i in ids:
+        if i in model.byte_value:
+            raw.append(model.byte_value[i])
+            continue
+        if raw:
+            out.append(raw.decode("utf-8", "replace"))
+            raw.clear()
+        out.append(model.shown[i])
+    out.append(raw.decode("utf-8", "replace"))
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def _model(proto: bytes, kind: str) -> PieceModel:
+    """One model for all tasks of a worker."""
+    return PieceModel(proto, kind)
+
+
+def _rows(proto: bytes, kind: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(proto, kind)
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.iloc[at:at + 512]
-                made = batch[columns].copy()
-                made["ids"] = [encode(model, t) for t in batch["text"]]
-                made["n_ids"] = pd.array([None if i is None else len(i) for i in made["ids"]], "Int64")
-                made["round_trip"] = pd.array([None if i is None else decode(model, i) == t
-                                               for i, t in zip(made["ids"], batch["text"], strict=True)], "boolean")
-                yield made
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                ids, counts, back = encode_batch(model, batch.column("text").to_pylist())
+                gone = batch.column("text").is_null()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()), mask=gone)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), lists, pa.array(counts, pa.int64(), mask=gone.to_numpy(False)), pa.array(back, pa.bool_())],
+                    ["doc_id", "ids", "n_ids", "round_trip"])
 
     return rows
 
@@ -290,13 +356,5 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, kind: str
     """
     with open(model_path, "rb") as f:
         proto = f.read()
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
-        _nullable(_rows(proto, kind, ["doc_id"])), "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean")
-
-
-def _nullable(rows):
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return rows(b.assign(doc_id=b["doc_id"].astype("Int64"), text=b["text"].astype(object).where(b["text"].notna(), None))
-                    for b in batches)
-
-    return typed
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _rows(proto, kind), "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean")

@@ -35,7 +35,13 @@ def test_streaming_commits_early_and_equals_one_go(model):
     ours = pieces.PieceModel(model)
     text = "▁" + "abcdefghij" * 2000
     parts = list(pieces.viterbi_stream(ours, iter(text)))
-    assert len(parts) > 100 and [p for some in parts for p in some] == pieces.short_path(ours, text)
+    assert len(parts) > 100 and [p for some in parts for p in some] == [ours.piece[i] for i in pieces.encode(ours, text[1:])]
+    blocks = [text[k:k + 777] for k in range(0, len(text), 777)]
+    assert [p for some in pieces.viterbi_stream(ours, blocks) for p in some] == [p for some in parts for p in some]
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert pieces.encode(ours, text[1:]) == list(theirs.encode(text[1:]))
+    held = max(len("".join(some)) for some in parts)
+    assert held <= 4 * ours.longest  # what is held back does not grow with the text
 
 
 def test_unigram_lattice_equals_full_search():
