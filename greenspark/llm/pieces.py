@@ -11,7 +11,7 @@ the public library.
 
 No piece holds a space mark after another character, so paths always meet before a space; the ids of such a stretch
 depend on the stretch alone.  Every distinct stretch goes through the lattice once and the ids of texts are joined from the stretches'
-(the table begins anew after ``MEMO_CHARS`` characters; results do not depend on it).
+(the last ``MEMO_CHARS`` to twice as many characters of them are remembered; results do not depend on it).
 
 Defined results: null gives null ids, empty text an empty list; characters outside the vocabulary become their bytes;
 control pieces in a text are ordinary text; repeated rows give equal rows; other columns are kept.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO = 400_000
-MEMO_CHARS = 8_000_000
+MEMO_CHARS = 6_000_000
 AT_ONCE = 512  # texts encoded together
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -75,9 +75,12 @@ class PieceModel:
         self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if "\n" not in self.letters else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def stretches(self) -> Stretches:
-        """The table of stretches, begun anew when it holds ``MEMO_CHARS`` characters."""
-        if self.known is None or self.known.chars > MEMO_CHARS:
+        """The table of stretches; when it holds ``MEMO_CHARS`` characters a new one begins, which looks words up in the last one."""
+        if self.known is None:
             self.known = Stretches(self)
+        elif self.known.chars > MEMO_CHARS:
+            self.known.older = None
+            self.known = Stretches(self, self.known)
         return self.known
 
     def halves(self, piece: str) -> tuple[str, str] | None:
@@ -236,11 +239,27 @@ def _extend_scored(model: PieceModel, tail: str, last: list[str | None], scores:
 class Stretches(dict):
     """Codes of stretches; ``flat[starts[code]:starts[code + 1]]`` are the ids, found by the lattice when first asked for."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, older: Stretches | None = None):
         self.model, self.flat, self.starts, self.same, self.chars = model, array("i"), array("q", [0]), array("b"), 0
+        self.older = older
 
     def __missing__(self, stretch: str) -> int:
-        code, model, ids = len(self.same), self.model, []
+        code, older = len(self.same), self.older
+        known = older.get(stretch) if older is not None else None
+        if known is not None:
+            self.flat.extend(older.flat[older.starts[known]:older.starts[known + 1]])
+            self.same.append(older.same[known])
+        else:
+            ids = self.found(stretch)
+            self.flat.extend(ids)
+            self.same.append(_shown(self.model, ids) == stretch)
+        self.starts.append(len(self.flat))
+        self.chars += len(stretch)
+        self[stretch] = code
+        return code
+
+    def found(self, stretch: str) -> list[int]:
+        model, ids = self.model, []
         vocabulary = model.vocabulary
         for some in viterbi_stream(model, (stretch,)):
             for piece in some:
@@ -249,12 +268,7 @@ class Stretches(dict):
                     ids.append(entry[0])
                 else:
                     ids += model.ids_of(piece)
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-        self.same.append(_shown(model, ids) == stretch)
-        self.chars += len(stretch)
-        self[stretch] = code
-        return code
+        return ids
 
 
 def _parts(model: PieceModel, text: str) -> list[str]:
