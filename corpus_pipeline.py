@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from greenspark.llm import decontaminate, jaccard_join, pieces, pii, quality_rules
 from greenspark.llm.common import read
 from greenspark.operators.lineage import cut
+from greenspark.operators.spatial import once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,8 +23,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; frequent lines go from the text of the others."""
-    judged = quality_rules.quality_rules(docs).where(F.col("_quality")["kept"])
-    return _columns(judged.withColumn("text", F.col("_quality")["clean_text"]))
+    judged = quality_rules.quality_rules(docs).withColumnRenamed("_quality", "_judged")
+    kept = once(judged, "_quality", F.col("_judged")).where(F.col("_quality")["kept"])  # the verdict is not computed again in the filter
+    return _columns(kept.withColumn("text", F.col("_quality")["clean_text"]))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
