@@ -34,22 +34,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def mask_patches(mask: DataFrame, pixel_m: float) -> DataFrame:
-    """4-connected patches of ``mask(row, col)``: pixel count, square metres and pixel box."""
-    id_of = F.col("row") * F.lit(1 << 31).cast("bigint") + F.col("col")
-    here = mask.select("row", "col", id_of.alias("node")).distinct()
-    right = here.select("row", (F.col("col") - 1).alias("col"), F.col("node").alias("other"))
-    below = here.select((F.col("row") - 1).alias("row"), "col", F.col("node").alias("other"))
-    links = here.join(right.unionByName(below), ["row", "col"]).select(F.col("node").alias("a"), F.col("other").alias("b"))
+def mask_patches(mask: DataFrame, pixel_m: float, keys: list[str] | None = None) -> DataFrame:
+    """4-connected patches of ``mask(row, col)``, within each raster of ``keys``: pixel count, square metres and pixel box."""
+    keys = keys or []
+    place = F.col("row") * F.lit(1 << 31).cast("bigint") + F.col("col")
+    here = mask.select(*keys, "row", "col", (F.struct(*keys, place.alias("place")) if keys else place).alias("node")).distinct()
+    right = here.select(*keys, "row", (F.col("col") - 1).alias("col"), F.col("node").alias("other"))
+    below = here.select(*keys, (F.col("row") - 1).alias("row"), "col", F.col("node").alias("other"))
+    links = here.join(right.unionByName(below), [*keys, "row", "col"]).select(F.col("node").alias("a"), F.col("other").alias("b"))
     labels = connected_components(links)
     named = here.join(labels, "node", "left").withColumn("patch", F.coalesce("component", "node"))
-    return named.groupBy("patch").agg(
+    if keys:
+        named = named.withColumn("patch", F.col("patch.place"))
+    return named.groupBy(*keys, "patch").agg(
         F.count(F.lit(1)).alias("n_pixels"), (F.count(F.lit(1)) * (pixel_m * pixel_m)).alias("m2"),
         F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
 
 
-def mask_outline(labelled: DataFrame, pixel_m: float) -> DataFrame:
-    """Boundary edges of labelled pixels ``(patch, row, col)`` in metres, ready for ring stitching.
+def mask_outline(labelled: DataFrame, pixel_m: float, keys: list[str] | None = None) -> DataFrame:
+    """Boundary edges of labelled pixels ``(patch, row, col)`` in metres, ready for ring stitching, within each raster of ``keys``.
 
     A pixel side is on the outline when the pixel across it has another label or none.
     """
@@ -60,7 +63,8 @@ def mask_outline(labelled: DataFrame, pixel_m: float) -> DataFrame:
         return F.struct(ax.cast("double").alias("x1"), ay.cast("double").alias("y1"), bx.cast("double").alias("x2"),
                         by.cast("double").alias("y2"), (F.col("row") + dr).alias("nr"), (F.col("col") + dc).alias("nc"))
 
-    sides = labelled.select("patch", F.inline(F.array(
+    keys = [*(keys or []), "patch"]
+    sides = labelled.select(*keys, F.inline(F.array(
         side(x0, y0, x1, y0, -1, 0), side(x1, y0, x1, y1, 0, 1), side(x1, y1, x0, y1, 1, 0), side(x0, y1, x0, y0, 0, -1))))
-    across = labelled.select("patch", F.col("row").alias("nr"), F.col("col").alias("nc"))
-    return sides.join(across, ["patch", "nr", "nc"], "left_anti").select("patch", "x1", "y1", "x2", "y2")
+    across = labelled.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc"))
+    return sides.join(across, [*keys, "nr", "nc"], "left_anti").select(*keys, "x1", "y1", "x2", "y2")

@@ -119,25 +119,26 @@ def pyramid(pixels: DataFrame, value: str, levels: int = 6, keys: list[str] | No
         F.avg(value).alias(value), F.count(F.lit(1)).alias("n_pixels"))
 
 
-def focal_std(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
-    """Population standard deviation in a square window around each valid pixel.
+def focal_std(pixels: DataFrame, value: str, radius: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """Population standard deviation in a square window around each valid pixel, within each raster of ``keys``.
 
     Each pixel sends its value to the windows it belongs to and the sums meet in one shuffle.
     """
     offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"))
                         for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)])
+    keys = keys or []
     valid = pixels.where(F.col(value).isNotNull())
-    sent = valid.select("row", "col", value, F.explode(offsets).alias("o"))
+    sent = valid.select(*keys, "row", "col", value, F.explode(offsets).alias("o"))
     here = (F.col("o.r") == 0) & (F.col("o.c") == 0)
-    return (sent.groupBy((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+    return (sent.groupBy(*keys, (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
             .agg(F.stddev_pop(value).alias("texture"), F.count(F.lit(1)).alias("n_window"),
                  F.max(here).alias("_centre"))
             .where("_centre").drop("_centre"))
 
 
 def resample(pixels: DataFrame, value: str, size: float, new_size: float, shift_x: float = 0.0,
-             shift_y: float = 0.0) -> DataFrame:
-    """Bilinear resampling, nodata aware.
+             shift_y: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+    """Bilinear resampling, nodata aware, of each raster of ``keys``.
 
     Source pixel centres are at ``(col + 0.5) * size``; target centres at
     ``(col + 0.5) * new_size + shift``.  Target cells come from the source cells they touch, so no
@@ -148,7 +149,8 @@ def resample(pixels: DataFrame, value: str, size: float, new_size: float, shift_
     reach = F.sequence(F.lit(-span), F.lit(span))
     near_c = F.floor((px - shift_x) / new_size)
     near_r = F.floor((py - shift_y) / new_size)
-    sent = (pixels.where(F.col(value).isNotNull()).select(value, px.alias("_px"), py.alias("_py"),
+    keys = keys or []
+    sent = (pixels.where(F.col(value).isNotNull()).select(*keys, value, px.alias("_px"), py.alias("_py"),
                                                           near_c.alias("_nc"), near_r.alias("_nr"))
             .withColumn("_dc", F.explode(reach)).withColumn("_dr", F.explode(reach))
             .withColumn("col", F.col("_nc") + F.col("_dc")).withColumn("row", F.col("_nr") + F.col("_dr")))
@@ -156,12 +158,12 @@ def resample(pixels: DataFrame, value: str, size: float, new_size: float, shift_
     ty = (F.col("row") + 0.5) * new_size + shift_y
     wx, wy = 1 - F.abs(tx - F.col("_px")) / size, 1 - F.abs(ty - F.col("_py")) / size
     weighted = sent.withColumn("_w", wx * wy).where((wx > 0) & (wy > 0))
-    return (weighted.groupBy("row", "col")
+    return (weighted.groupBy(*keys, "row", "col")
             .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value), F.sum("_w").alias("weight")))
 
 
-def resample_grid(grid: DataFrame, pixels: DataFrame, value: str, size: float, to_source) -> DataFrame:
-    """Bilinear resampling onto an explicit grid ``(row, col, x, y)`` in another reference system."""
+def resample_grid(grid: DataFrame, pixels: DataFrame, value: str, size: float, to_source, keys: list[str] | None = None) -> DataFrame:
+    """Bilinear resampling of each raster of ``keys`` onto an explicit grid ``(row, col, x, y)`` in another reference system."""
     sx, sy = to_source(F.col("x"), F.col("y"))
     at = grid.select("row", "col", (sx / size - 0.5).alias("_u"), (sy / size - 0.5).alias("_v"))
     corners = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
@@ -169,8 +171,9 @@ def resample_grid(grid: DataFrame, pixels: DataFrame, value: str, size: float, t
              .withColumn("_sc", F.floor("_u") + F.col("_o.c")).withColumn("_sr", F.floor("_v") + F.col("_o.r"))
              .withColumn("_w", (1 - F.abs(F.col("_u") - F.col("_sc"))) * (1 - F.abs(F.col("_v") - F.col("_sr"))))
              .where("_w > 0"))
-    source = pixels.where(F.col(value).isNotNull()).select(F.col("row").alias("_sr"), F.col("col").alias("_sc"), value)
-    return (asked.join(source, ["_sr", "_sc"]).groupBy("row", "col")
+    keys = keys or []
+    source = pixels.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), value)
+    return (asked.join(source, ["_sr", "_sc"]).groupBy(*keys, "row", "col")
             .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value), F.sum("_w").alias("weight")))
 
 

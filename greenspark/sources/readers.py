@@ -107,13 +107,20 @@ SCENE_SCHEMA = ("id string, properties struct<datetime: timestamp, `eo:cloud_cov
                 "assets map<string, struct<href: string>>")
 
 
-def scene_items(spark: SparkSession, path: str) -> DataFrame:
-    """Scene catalogue items, one JSON object per line or a collection's ``features``."""
-    items = spark.read.schema(SCENE_SCHEMA).json(path)
+def scene_items(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+    """Scene catalogue items with their footprint as a geometry: one object per line, an item or a collection with ``features``.
+
+    ``indented`` files hold one object over several lines; each is read by one task.
+    """
+    objects = spark.read.schema(f"features array<struct<{SCENE_SCHEMA}>>, {SCENE_SCHEMA}").option("multiLine", indented).json(path)
+    own = F.array(F.struct("id", "properties", "bbox", "geometry", "assets"))
+    items = objects.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(own)).alias("i")).select("i.*")
     b = F.col("bbox")
+    ring = F.transform("geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return items.select("id", F.col("properties.datetime").alias("datetime"),
                         F.col("properties.`eo:cloud_cover`").alias("cloud"), F.col("properties.`s2:mgrs_tile`").alias("tile"),
-                        G.box(b[0], b[1], b[2], b[3]).alias("box"), "assets")
+                        G.box(b[0], b[1], b[2], b[3]).alias("box"), "assets",
+                        F.when(F.col("geometry.type") == "Polygon", F.array(ring)).alias("footprint"))
 
 
 def scene_assets(items: DataFrame) -> DataFrame:

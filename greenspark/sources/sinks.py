@@ -10,11 +10,15 @@ from greenspark.functions import scalars
 from greenspark.functions.colour import RAMP_NDVI, ramp_rgba
 
 
-def write_sorted(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 50000, files: int | None = None) -> None:
-    """Range-partitioned, sorted Parquet with zstd, so range reads on the leading keys skip files and row groups."""
+def write_sorted(df: DataFrame, path: str, keys: list[str], rows_per_group: int = 50000, files: int | None = None,
+                 rows_per_file: int = 0) -> None:
+    """Range-partitioned, sorted Parquet with zstd, so range reads on the leading keys skip files and row groups.
+
+    A row group ends after ``rows_per_group`` rows; ``rows_per_file`` (0: no limit) also begins a new file.
+    """
     spread = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    (spread.sortWithinPartitions(*keys).write.mode("overwrite")
-     .option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path))
+    (spread.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd")
+     .option("parquet.block.row.count.limit", rows_per_group).option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
 def write_plain(df: DataFrame, path: str) -> None:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from conftest import box_geom
 from greenspark.functions import geometry as G
-from greenspark.operators import quality
+from greenspark.operators import components, quality, raster
 from greenspark.operators.raster import explode_tiles, resample_grid
-from greenspark.sources import cities, readers, sinks
+from greenspark.sources import cities, footers, npy, readers, sinks
 
 
 def test_geojson_polygons_and_multipolygons(spark, tmp_path):
@@ -43,6 +43,17 @@ def test_scene_items_and_assets(spark, tmp_path):
     row = items.first()
     assert row.cloud == 4.5 and row.tile == "30UXC" and row.box.ymax == 3.0
     assert {(r.band, r.href) for r in readers.scene_assets(items).collect()} == {("B04", "a"), ("B08", "b")}
+    assert items.select(G.area(G.normalise(F.col("footprint")))).first()[0] == 2.0
+
+
+def test_scene_collections(spark, tmp_path):
+    features = [{"id": f"s{k}", "properties": {"datetime": "2024-06-03T10:00:00Z", "eo:cloud_cover": k}, "bbox": [0, 1, 2, 3], "assets": {}} for k in range(3)]
+    both = {"type": "FeatureCollection", "features": features}
+    (tmp_path / "lines.json").write_text(json.dumps(both) + "\n" + json.dumps(features[0] | {"id": "own"}) + "\n")
+    (tmp_path / "indented.json").write_text(json.dumps(both, indent=2))
+    assert sorted(r.id for r in readers.scene_items(spark, str(tmp_path / "lines.json")).collect()) == ["own", "s0", "s1", "s2"]
+    assert {(r.id, r.cloud, r.footprint) for r in readers.scene_items(spark, str(tmp_path / "indented.json"), indented=True).collect()} == {
+        ("s0", 0.0, None), ("s1", 1.0, None), ("s2", 2.0, None)}
 
 
 def test_npy_tiles_and_pixels(spark, tmp_path):
@@ -57,6 +68,49 @@ def test_npy_tiles_and_pixels(spark, tmp_path):
     assert (px[2, 3].x, px[2, 3].y, px[2, 3].band) == (1070.0, 4950.0, "B04")
 
 
+def test_npy_source_reads_byte_ranges(spark, tmp_path):
+    npy.register(spark)
+    rng = np.random.default_rng(1)
+    grids = {"late_B04": rng.random((50, 7)).astype("f4"), "late_B08": rng.integers(0, 9, (33, 20)).astype("i2"), "early_B04": np.asfortranarray(rng.random((9, 5)))}
+    for name, grid in grids.items():
+        np.save(tmp_path / f"{name}.npy", grid)
+    (tmp_path / "meta.json").write_text(json.dumps({"transform": [20, 0, 1000, 0, -20, 5000]}))
+    source = spark.read.format("npy_tiles").options(meta=str(tmp_path / "meta.json"), tileSize=4, rangeBytes=200)
+    tiles = source.load(str(tmp_path))
+    assert tiles.rdd.getNumPartitions() > 15  # one file in many tasks
+    whole = readers.npy_tiles(spark, str(tmp_path), str(tmp_path / "meta.json"), tile_size=4)
+    keys = ["raster_id", "band", "tile_r", "tile_c"]
+    rows = [sorted((tuple(r[k] for k in keys), r.h, r.w, r["values"], r.affine) for r in t.collect()) for t in (tiles, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) == 13 * 2 + 9 * 5 + 3 * 2
+    assert source.options(nodata="nan").load(str(tmp_path / "late_B08.npy")).where("exists(values, v -> v = 0)").count() > 0
+    np.save(tmp_path / "bad_B01.npy", np.zeros(3))
+    with pytest.raises(Exception, match="two axes"):
+        source.load(str(tmp_path / "bad_B01.npy")).count()
+
+
+def test_row_groups_are_as_wanted(spark, tmp_path):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    sinks.write_sorted(df, str(tmp_path / "sorted"), ["k"], rows_per_group=1500, files=2)
+    audit = footers.group_audit(spark.read.parquet(str(tmp_path / "sorted")), "k", "bigint", 1500).collect()
+    assert len(audit) == 2 and sum(r.n_rows for r in audit) == 20_000 and all(r.n_large == r.out_of_order == 0 and r.n_groups > 5 for r in audit)
+    df.coalesce(1).write.option("parquet.block.row.count.limit", 4000).parquet(str(tmp_path / "mixed"))
+    row, = footers.group_audit(spark.read.parquet(str(tmp_path / "mixed")), "k", "bigint", 1500).collect()
+    assert row.n_large >= 4 and row.out_of_order > 0
+    groups = footers.row_groups(spark.read.parquet(str(tmp_path / "sorted")), "k").orderBy("file", "row_group").collect()
+    assert min(int(g.low) for g in groups) == 0 and max(int(g.high) for g in groups) == 19_999
+
+
+def test_raster_keys_keep_rasters_apart(spark):
+    cells = [(c, r, k, float(r * k + len(c))) for c in ("x", "yy") for r in range(4) for k in range(4) if (r + k) % 3 or c == "x"]
+    both = spark.createDataFrame(cells, "city string, row int, col int, v double")
+    for run in (lambda t, keys: raster.focal_std(t, "v", keys=keys), lambda t, keys: raster.resample(t, "v", 10.0, 10.0, 3.0, 4.0, keys=keys),
+                lambda t, keys: components.mask_patches(t, 10.0, keys=keys)):
+        apart = [("x", *r) for r in run(both.where("city = 'x'"), None).collect()] + [("yy", *r) for r in run(both.where("city = 'yy'"), None).collect()]
+        assert sorted(map(repr, (tuple(r) for r in run(both, ["city"]).collect()))) == sorted(map(repr, apart))
+    labelled = both.withColumn("patch", F.lit(1))
+    assert components.mask_outline(labelled, 1.0, ["city"]).where("city = 'x'").count() == 16
+
+
 def test_resample_onto_another_grid(spark):
     px = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(4) for c in range(4)], "row int, col int, v double")
     grid = spark.createDataFrame([(0, 0, 100.0, 200.0)], "row int, col int, x double, y double")
