@@ -1,18 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one node.  The tokens are dealt into BANDS classes by hash; the
-BAND_ROWS smallest of a class are its band.  Nodes that share a band are compared with the smallest node
-of the band and, if similar, form a group with it.  Each group stores the union of its members' prefix tokens; two
-groups can hold a similar pair only if these unions share ``SHARED`` tokens, so only such pairs of groups are opened
-and their members compared: first by longer prefixes (a ``PAIR_PART``-th of a set must be shared there), then exactly,
-on whole texts.
+Documents with equal shingle sets are one node.  The tokens are dealt into BANDS classes by hash; the BAND_ROWS smallest
+of a class are its band.  Nodes that share a band are compared with the band's node that shares most bands with others and,
+if similar, form a group with it.  Two bounds then say which sets can still have a partner in another group: a share of their
+first tokens (``PAIR_PART``), and after that all but a (100 - pct)-th of their tokens, must stand in other groups
+("met").  The matrix of the sets left has a row for each token of the union of a group's prefixes; a set opens a group of
+it only if it shares ``SHARED`` of its prefix tokens with the union, if sizes agree, and if the overlap can be
+large enough; the last is bounded by the sum over CLASSES token classes of the lesser number of met tokens.  The same bound holds for the
+members of an opened group, and what is left is compared exactly, on whole texts.
 
 Why nothing is lost.  With similarity t, two similar sets of sizes n and m share at least ceil(t * max(n, m)) tokens.
 Order all tokens alike; then the first n - ceil(t * n) + k tokens of one set and the first m - ceil(t * m) + k of the
-other share at least k tokens, for any k up to the smaller overlap; k = SHARED for groups.  Any order will do, so tokens that stand in many groups (passages that many
-documents quote) are put last; which tokens those are changes the cost only.  Different sets of fewer tokens than
-``smallest_set`` (six at 0.85, four at 0.8) are never similar; two similar sets share at least that many tokens, so fewer than
-SHARED are asked where it is less.
+other share at least k tokens, for any k up to the smaller overlap.  Any order will do: the first prefixes go by hash, the
+matrix by (met or not, number of sets, token), rare ones first.  All shared tokens of two groups are met, also in each class.  Different sets of fewer
+tokens than ``smallest_set`` (six at 0.85, four at 0.8) are never similar; two similar sets share at least that many
+tokens, so fewer than SHARED are asked where it is less.
 
 Defined results: null, blank and empty texts have an empty set and link with nothing; a text of fewer words than a
 shingle has its whole word sequence as its one shingle; a null id is skipped as a component id but keeps its row;
@@ -22,59 +24,22 @@ repeated rows are copies and link with each other; other columns stay unread.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from greenspark.llm.common import ASCII_LOWER, pandas_rows, small_side
+from greenspark.llm.common import ASCII_LOWER, small_side  # noqa: F401 (the case rule of the words)
+from greenspark.llm.shingles import ODD, Shingler
 from greenspark.operators.components import connected_components
 from greenspark.operators.lineage import cut
 
 SHARED = 3
 PAIR_PART = 8
 BANDS, BAND_ROWS = 6, 3
-COMMON = 24
-AHEAD = 4
-FLUSH_ROWS = 1 << 17
-BROADCAST_IDS = 4_000_000
-COMMON_TOKENS = 1_000_000
-MEMO_WORDS = 1 << 18
-
-_ODD = np.random.default_rng(20240501).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; remembers word hashes."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.memo: dict[bytes, int] = {}
-
-    def words(self, text: str | None) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        words = self.words(text)
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.size:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh64_intdigest(w, 7)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        last = len(words) - self.size + 1
-        grams = np.zeros(last, np.uint64)
-        for k in range(self.size):
-            grams = (grams ^ h[k:k + last]) * _ODD[k]
-            grams ^= grams >> np.uint64(29)
-        return np.unique(grams)
+CLASSES = 32
+BROADCAST_IDS = 1_000_000
 
 
 def smallest_set(pct: int) -> int:
@@ -87,101 +52,94 @@ def shared_tokens(pct: int) -> int:
     return min(SHARED, smallest_set(pct))
 
 
-def least_shared(n: int, pct: int, part: int) -> int:
-    """Shared tokens asked of the prefixes of a set of ``n``: as of every pair, or an n-th ``part`` of the set if that is more."""
-    return max(shared_tokens(pct), n // part) if part else shared_tokens(pct)
-
-
-def prefix_length(n: int, pct: int, part: int = 0) -> int:
-    return min(n, n - ceil(pct * n / 100) + least_shared(n, pct, part))
+def _bands(tokens: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """The band of each class that has tokens, for every set."""
+    sets = np.arange(len(bounds) - 1)
+    own = np.repeat(sets, np.diff(bounds))
+    side = (tokens >> np.uint64(7)) % np.uint64(BANDS)
+    hashes, there = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), BANDS), bool)
+    for b in range(BANDS):
+        at = np.flatnonzero(side == b)
+        if not len(at):
+            continue
+        first = np.searchsorted(own[at], sets)
+        count = np.searchsorted(own[at], sets, "right") - first
+        there[:, b] = count > 0
+        h = np.full(len(sets), b + 1, np.uint64)
+        for k in range(BAND_ROWS):
+            token = tokens[at[np.minimum(first + k, len(at) - 1)]]
+            h = (h ^ np.where(k < count, token, np.uint64(0))) * ODD[50 + k]
+            h ^= h >> np.uint64(31)
+        hashes[:, b] = h
+    return [row[some].tolist() for row, some in zip(hashes.view(np.int64), there, strict=True)]
+
+
+def _totals(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of the values of every set, as signed numbers."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
 def _sketch(size: int, pct: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, least = Shingler(size), smallest_set(pct)
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                t = shingler.tokens(text)
-                if len(t):
-                    with np.errstate(over="ignore"):
-                        key = (int(t.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(t * _ODD[40] ^ (t >> np.uint64(17)))))
-                        side = (t >> np.uint64(7)) % np.uint64(BANDS)
-                    bands = [xxhash.xxh64_intdigest(t[side == b][:BAND_ROWS].tobytes(), b) - (1 << 63)
-                             for b in range(BANDS) if len(t) >= 6 or (side == b).any()] if len(t) >= least else []
-                    out.append((len(t), key[0] - (1 << 63), key[1] - (1 << 63), bands))
-                else:
-                    out.append((0, 0, 0, []))
-            made = pd.DataFrame(out, columns=["n", "k1", "k2", "bands"])
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield made
+            ids = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
+            for first, last, tokens, bounds in shingler.pieces(batch["text"].tolist()):
+                n = np.diff(bounds)
+                bands = _bands(tokens, bounds)
+                yield pd.DataFrame({
+                    "doc_id": ids[first:last], "n": n, "k1": _totals(tokens, bounds),
+                    "k2": _totals((tokens ^ (tokens >> np.uint64(31))) * ODD[40], bounds),
+                    "bands": [b if k >= least else [] for b, k in zip(bands, n.tolist(), strict=True)]})
 
     return rows
 
 
-def _prefixes(size: int, pct: int, common: np.ndarray, part: int = 0, changed: bool = False):
-    """(node, grp, n, token) of the prefix of every set, tokens in ``common`` last.
+_ROWS = "node bigint, grp bigint, n int, token bigint"
 
-    ``changed``: instead the tokens that come next in those sets whose prefix in plain order has tokens in ``common``,
-    AHEAD for each of these.
-    """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, least, held = Shingler(size), smallest_set(pct), 0
-        nodes, groups, sizes, tokens = [], [], [], []
+def _tokens(size: int, pct: int, part: int = 0):
+    """(node, grp, n, token) of all tokens of every set that can have a partner; with ``part``, of their first ones.
 
-        def table() -> pd.DataFrame:
-            nonlocal held
-            held, parts = 0, (nodes, groups, sizes, tokens)
-            made = pd.DataFrame({name: np.concatenate(p) for name, p in zip(("node", "grp", "n", "token"), parts, strict=True)})
-            for part in parts:
-                part.clear()
-            return made
+    These are as many that two similar sets share a ``part``-th of the smaller one, or ``shared_tokens`` if that is more.
+    """
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, least, asked = Shingler(size), smallest_set(pct), shared_tokens(pct)
         for batch in batches:
-            for node, grp, text in pandas_rows([batch], "node", "grp", "text"):
-                t = shingler.tokens(text).view(np.int64)
-                if len(t) < least:
-                    continue
-                p = prefix_length(len(t), pct, part)
-                often = np.zeros(len(t), bool)
-                if len(common):
-                    at = np.searchsorted(common, t)
-                    often = common[np.minimum(at, len(common) - 1)] == t
-                if changed:
-                    lacking = int(often[:p].sum())
-                    if not lacking:
-                        continue
-                    t = t[p:][~often[p:]][:AHEAD * lacking]
-                    p = len(t)
-                else:
-                    t = np.concatenate([t[~often], t[often]])
-                nodes.append(np.full(p, node, np.int64))
-                groups.append(np.full(p, grp, np.int64))
-                sizes.append(np.full(p, len(t), np.int32))
-                tokens.append(t[:p])
-                held += p
-                if held > FLUSH_ROWS:
-                    yield table()
-            if nodes:
-                yield table()
+            nodes, groups = batch["node"].to_numpy(np.int64), batch["grp"].to_numpy(np.int64)
+            for first, last, tokens, bounds in shingler.pieces(batch["text"].tolist()):
+                n = np.diff(bounds)
+                taken = n if not part else np.minimum(n, n - -(-pct * n // 100) + np.maximum(asked, n // part))
+                own = np.repeat(np.arange(last - first), n)
+                some = (np.arange(len(tokens)) - bounds[:-1][own] < taken[own]) & (n >= least)[own]
+                own = own[some]
+                yield pd.DataFrame({"node": nodes[first:last][own], "grp": groups[first:last][own], "n": n[own].astype(np.int32),
+                                    "token": tokens[some].view(np.int64)})
 
     return rows
 
 
 def _similar(size: int, pct: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, last, kept = Shingler(size), object(), None
+        shingler = Shingler(size)
         for batch in batches:
-            out = []
-            for a, b, left, right in pandas_rows([batch], "a", "b", "text_a", "text_b"):
-                if b != last:
-                    last, kept = b, shingler.tokens(right)
-                mine = shingler.tokens(left)
-                both = len(np.intersect1d(mine, kept, assume_unique=True))
-                if 100 * both >= pct * (len(mine) + len(kept) - both):
-                    out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            made = []
+            for side in ("b", "a"):
+                codes, _ = pd.factorize(batch[side])
+                texts = batch["text_" + side].to_numpy()[np.unique(codes, return_index=True)[1]].tolist()
+                sets = [tokens[x:y] for _, _, tokens, bounds in shingler.pieces(texts)
+                        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                made.append((codes, sets))
+            (code_b, sets_b), (code_a, sets_a) = made
+            linked = np.zeros(len(batch), bool)
+            for k, (i, j) in enumerate(zip(code_a.tolist(), code_b.tolist(), strict=True)):
+                left, right = sets_a[i], sets_b[j]
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                linked[k] = 100 * both >= pct * (len(left) + len(right) - both)
+            yield batch.loc[linked, ["a", "b"]]
 
     return rows
 
@@ -195,29 +153,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, pct: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(size, pct), "a bigint, b bigint")
 
 
-def _common_tokens(found: DataFrame) -> np.ndarray:
-    """Tokens of more than COMMON sets, not all in one group; the least count is doubled until at most COMMON_TOKENS are left."""
-    counts = cut(found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-                 .where((F.col("n") > COMMON) & (F.col("lo") < F.col("hi"))).select("token", "n"))
-    least = COMMON
-    while counts.where(F.col("n") > least).count() > COMMON_TOKENS:
-        least *= 2
-    rows = counts.where(F.col("n") > least).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64))
+def _stars(nodes: DataFrame) -> DataFrame:
+    """(a, b): every node and, for each of its bands, the node of the band that shares most bands with others."""
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("there")).where("there > 1"))
+    met = cut(banded.join(shared, "band"))
+    fame = met.groupBy("node").agg(F.sum("there").alias("fame"))
+    leaders = met.select("node", "band").join(fame, "node").groupBy("band").agg(
+        F.min_by("node", F.struct(-F.col("fame"), F.col("node"))).alias("b"))
+    return cut(met.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
 
-def _matching(rows: DataFrame, pct: int) -> DataFrame:
-    """The prefix rows that can count in a similar pair: tokens of two groups or more, of sets that keep enough of these.
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows whose token stands in two groups or more.
 
-    A partner of a set of n has at least ``pct`` per cent of n tokens, and the pair must share a ``PAIR_PART``-th of the
-    smaller set; a set with fewer tokens in other groups has no partner there.
+    A set has a token once, so no token has more than one in as many rows as the sets have tokens here.
     """
-    met = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    rest = cut(rows.join(met, "token", "left_semi"))
+    here = Window.partitionBy("token")
+    return (rows.withColumn("_lo", F.min("grp").over(here)).withColumn("_hi", F.max("grp").over(here))
+            .where("_lo < _hi").drop("_lo", "_hi"))
+
+
+def _can_be(n: Column, m: Column, reach: Column, other: Column, pct: int) -> Column:
+    """Whether sets of ``n`` and ``m`` tokens can be similar, given their met tokens in each class."""
+    needed = (n + m) * pct
+
+    def enough(most):
+        return most * (100 + pct) >= needed
+
+    total = F.least(reach[CLASSES], other[CLASSES])  # the last entry is the sum, which is cheap to look at first
+    by_class = F.aggregate(F.zip_with(reach, other, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)  # the total counts in both sums
+    return enough(total) & enough(by_class - total)
+
+
+def _candidates(grouped: DataFrame, size: int, pct: int) -> DataFrame:
+    """(a, b) of all nodes of different groups that can be similar by the bounds of the matrix."""
+    first = _met(grouped.mapInPandas(_tokens(size, pct, PAIR_PART), _ROWS))
     asked = F.greatest(F.lit(shared_tokens(pct)), F.floor(F.col("n") * pct / (100 * PAIR_PART)))
-    enough = (rest.groupBy("node").agg(F.count(F.lit(1)).alias("left"), F.max("n").alias("n"))
-              .where(F.col("left") >= asked).select("node"))
-    return cut(rest.join(enough, "node", "left_semi"))
+    near = cut(first.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")).where(F.col("met") >= asked).select("node"))
+    rows = cut(_met(grouped.join(small_side(near, BROADCAST_IDS), "node", "left_semi").select("node", "grp", "text")
+                    .mapInPandas(_tokens(size, pct), _ROWS)))
+
+    token_class = F.pmod(F.shiftright("token", 20), F.lit(CLASSES))
+    count = F.count(F.lit(1)).cast("int")
+    sets = cut(rows.groupBy("node").agg(
+        F.max("grp").alias("grp"), F.max("n").alias("n"),
+        F.array(*[F.count(F.when(token_class == h, 1)).cast("int") for h in range(CLASSES)], count).alias("reach"))
+        .where(F.col("reach")[CLASSES] * 100 >= F.col("n") * pct))
+    rare = rows.select("node", "token").join(sets, "node").withColumn("_sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("_sets", "token"))
+    length = F.col("reach")[CLASSES] - F.ceil(F.col("n") * pct / 100) + shared_tokens(pct)  # what is not met stands before
+    prefix = cut(rare.withColumn("_place", place).where(F.col("_place") <= length).drop("_place", "_sets"))
+
+    groups = sets.groupBy(F.col("grp").alias("grp_b")).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"),
+        F.array(*[F.max(F.col("reach")[h]) for h in range(CLASSES + 1)]).alias("reach_b"))
+    matrix = prefix.select("token", F.col("grp").alias("grp_b")).distinct().join(groups, "grp_b")
+    least = F.greatest(F.col("lo"), F.ceil(F.col("n") * pct / 100))
+    fits = ((F.col("grp") < F.col("grp_b")) & (F.col("hi") * 100 >= F.col("n") * pct) & (F.col("n") * 100 >= F.col("lo") * pct)
+            & _can_be(F.col("n"), least, F.col("reach"), F.col("reach_b"), pct))
+    opened = (prefix.select("node", "grp", "n", "reach", "token").join(matrix, "token").where(fits)
+              .groupBy("node", "grp_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared_tokens(pct)))
+    mine = cut(opened.select("node", "grp_b")).join(sets.drop("grp"), "node")
+    member = sets.select(F.col("grp").alias("grp_b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("reach").alias("reach_b"))
+    alike = ((F.col("m") * 100 >= F.col("n") * pct) & (F.col("n") * 100 >= F.col("m") * pct)
+             & _can_be(F.col("n"), F.col("m"), F.col("reach"), F.col("reach_b"), pct))
+    return cut(mine.join(member, "grp_b").where(alike).select(F.col("node").alias("a"), "b"))
 
 
 def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFrame:
@@ -225,51 +226,20 @@ def similar_components(docs: DataFrame, size: int = 4, pct: int = 85) -> DataFra
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = cut(docs.mapInPandas(_sketch(size, pct), "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     keyed = sketches.where("n > 0 and doc_id is not null")
-    nodes = cut(keyed.groupBy("n", "k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    texts = docs.join(small_side(nodes.select(F.col("node").alias("doc_id")), BROADCAST_IDS), "doc_id", "left_semi")
+    nodes = cut(keyed.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    texts = docs.join(small_side(nodes.where(F.col("n") >= smallest_set(pct)).select(F.col("node").alias("doc_id")), BROADCAST_IDS),
+                      "doc_id", "left_semi")
     texts = texts.dropDuplicates(["doc_id"]) if _repeats(sketches) else texts
     texts = texts.select(F.col("doc_id").alias("node"), "text")
 
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = cut(banded.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
-                  .where("n > 1").select("band", "b"))
-    starred = cut(banded.join(leaders, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    stars = cut(_verified(starred, texts, size, pct))
+    stars = cut(_verified(_stars(nodes), texts, size, pct))
     groups = cut(connected_components(stars))
     grouped = texts.join(small_side(groups, BROADCAST_IDS), "node", "left").withColumn(
         "grp", F.coalesce("component", "node")).drop("component")
-    form = "node bigint, grp bigint, n int, token bigint"
-
-    common = _common_tokens(grouped.mapInPandas(_prefixes(size, pct, np.empty(0, np.int64)), form))
-    if len(common):
-        rest = _common_tokens(grouped.mapInPandas(_prefixes(size, pct, common, changed=True), form))
-        common = np.union1d(common, rest)
-    matrix = (grouped.mapInPandas(_prefixes(size, pct, common), form).repartition("token")
-              .groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    other = matrix.select("token", F.col("grp").alias("grp_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    fits = (F.col("hi_b") * 100 >= F.col("lo") * pct) & (F.col("hi") * 100 >= F.col("lo_b") * pct)
-    opened = cut(matrix.join(other, "token").where((F.col("grp") < F.col("grp_b")) & fits)
-                 .groupBy("grp", "grp_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared_tokens(pct))
-                 .select("grp", "grp_b"))
-    if opened.isEmpty():
-        edges = stars
-    else:
-        sides = cut(opened.select(F.explode(F.array("grp", "grp_b")).alias("grp")).distinct())
-        rows = _matching(cut(grouped.join(small_side(sides, BROADCAST_IDS), "grp", "left_semi")
-                             .select("node", "grp", "text").mapInPandas(_prefixes(size, pct, common, PAIR_PART), form)), pct)
-        first = opened.join(rows.select("grp", F.col("node").alias("a"), F.col("n").alias("n_a"), "token"), "grp")
-        second = rows.select(F.col("grp").alias("grp_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), "token")
-        close = (F.col("n_a") * 100 >= F.col("n_b") * pct) & (F.col("n_b") * 100 >= F.col("n_a") * pct)
-        pairs = cut(first.join(second, ["grp_b", "token"]).where(close).groupBy("a", "b")
-                    .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
-                    .where(F.col("shared") >= F.greatest(F.lit(shared_tokens(pct)), F.floor(F.col("n") / PAIR_PART))).select("a", "b"))
-        edges = stars.unionByName(_verified(pairs, texts, size, pct))
-    labels = cut(connected_components(edges))
-    named = nodes.select("n", "k1", "k2", "node").join(labels, "node", "left").select(
-        F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"),
-        F.coalesce("component", "node").alias("component"))
-    named = cut(named)
+    pairs = _candidates(grouped, size, pct)
+    labels = groups if pairs.isEmpty() else cut(connected_components(stars.unionByName(_verified(pairs, texts, size, pct))))
+    named = cut(nodes.select("n", "k1", "k2", "node").join(labels, "node", "left").select(
+        F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "node").alias("component")))
     same = (F.col("n") == F.col("_n")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     return sketches.join(small_side(named, BROADCAST_IDS), same, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
