@@ -17,6 +17,8 @@ not matter, as only thresholds are used; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +41,45 @@ BETWEEN_GROUPS = r"(?<=[0-9)]|[0-9)]\x20[.-])\x20(?=\(?[0-9]|[.-]\x20\(?[0-9])"
 SPAN = "array<struct<kind:int,start:int,end:int,found:string>>"
 
 
-def _placed(text: Column, pattern: str, kind: int) -> Column:
-    """Matches as structs (kind, start, end, found), in code points.
+def _blocks(items: Column) -> Column:
+    """An array cut into stretches of about the square root of its size, so that no fold grows a long array; ``items`` is bound."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width), lambda k: F.slice(items, k, width))
+
+
+def _steps(text: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the matches of a text as structs (hits, gaps): each match and the part between it and the one before."""
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return let(both, lambda x: let(
+        F.arrays_zip(x["hits"].alias("hits"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gaps")), body))
+
+
+def _walked(steps: Column, kind: int) -> Column:
+    """Bound ``steps`` as structs (kind, start, end, found), in code points.
 
     The parts between the matches and the matches themselves have the same number of characters as the text.
     """
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def walk(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        steps = F.arrays_zip(x["hits"].alias("hits"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gaps"))
+    def step(acc: Column, e: Column) -> Column:
+        begin = acc["at"] + F.length(e["gaps"])
+        end = begin + F.length(e["hits"])
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
+            F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), e["hits"].alias("found")))).alias("spans"))
 
-        def step(acc: Column, e: Column) -> Column:
-            begin = acc["at"] + F.length(e["gaps"])
-            end = begin + F.length(e["hits"])
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
-                F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), e["hits"].alias("found")))).alias("spans"))
+    def shifted(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, none, lambda acc, b: F.struct(
+            (acc["at"] + b["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(parts, starts, lambda b, at: F.transform(b["spans"], lambda s: F.struct(
+            s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["found"].alias("found")))))
 
-        return F.aggregate(steps, start, step)["spans"]
+    return let(F.transform(_blocks(steps), lambda b: F.aggregate(b, start, step)), shifted)
 
-    return let(both, walk)
+
+def _placed(text: Column, pattern: str, kind: int) -> Column:
+    """Matches as structs (kind, start, end, found), in code points."""
+    return _steps(text, pattern, lambda steps: _walked(steps, kind))
 
 
 def _digits(found: Column) -> Column:
@@ -93,19 +114,38 @@ def _instances(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, start, end, kind or null, instance, pattern) of every token with a digit or an at sign, digit groups joined."""
     having = docs.where(F.col("text").rlike("[0-9@]")).select(
         "doc_id", F.unhex(F.md5("text")).alias("text_key"), "text", base_spans(F.col("text")).alias("base"))
-    tokens = having.select("doc_id", "text_key", "text", "base", F.explode(
-        let(F.regexp_replace("text", BETWEEN_GROUPS, MARK), lambda t: _placed(t, TOKEN, -1))).alias("t"))
-    start, end = F.col("t")["start"], F.col("t")["end"]
-    seed = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > start))
-    before = F.substring(F.col("text"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    words = F.filter(F.split(F.lower(before), r"[^\p{L}]+"), lambda w: w != "")
+    tokens = having.select("doc_id", "text_key", F.explode(let(F.col("base"), lambda base: _steps(
+        F.regexp_replace("text", BETWEEN_GROUPS, MARK), TOKEN, lambda steps: _in_context(steps, base)))).alias("t"))
+    words = F.filter(F.split(F.lower(F.col("t")["before"]), r"[^\p{L}]+"), lambda w: w != "")
     pattern = F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
     return tokens.select(
-        "doc_id", "text_key", start.alias("start"), end.alias("end"), F.get(seed, F.lit(0))["kind"].alias("kind"),
+        "doc_id", "text_key", F.col("t")["start"].alias("start"), F.col("t")["end"].alias("end"), F.col("t")["seed"].alias("kind"),
         F.unhex(F.md5(F.col("t")["found"])).alias("instance"), pattern.alias("pattern"),
         F.length(_digits(F.col("t")["found"])).alias("n_digits"), F.contains(F.col("t")["found"], F.lit("@")).alias("has_at"))
 
 
+def _in_context(steps: Column, base: Column) -> Column:
+    """Tokens as structs (start, end, found, before, seed): the CONTEXT characters before, the kind of the first span of ``base`` over it.
+
+    A token and the blank after it are two characters or more, so CONTEXT / 2 tokens before hold them all.
+    """
+    most = CONTEXT // 2
+
+    def before(e: Column, i: Column) -> Column:
+        near = F.slice(steps, F.greatest(i - (most - 1), F.lit(1)), F.least(i, F.lit(most)))
+        text = F.concat(F.array_join(F.transform(near, lambda s: F.concat(s["gaps"], s["hits"])), ""), e["gaps"])
+        return F.substring(text, -CONTEXT, CONTEXT)
+
+    def seeded(block: Column) -> Column:
+        first, last = F.get(block, F.lit(0))["at"]["start"], F.get(block, F.size(block) - 1)["at"]["end"]
+        return let(F.filter(base, lambda b: (b["start"] < last) & (b["end"] > first)), lambda near: F.transform(block, lambda t: F.struct(
+            t["at"]["start"].alias("start"), t["at"]["end"].alias("end"), t["at"]["found"].alias("found"), t["before"].alias("before"),
+            F.get(F.filter(near, lambda b: (b["start"] < t["at"]["end"]) & (b["end"] > t["at"]["start"])), F.lit(0))["kind"].alias("seed"))))
+
+    both = F.arrays_zip(_walked(steps, -1).alias("at"), F.transform(steps, before).alias("before"))
+    return let(both, lambda tokens: F.flatten(F.transform(_blocks(tokens), seeded)))
+
+
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, score, n_seeds): patterns scored on the pattern-instance graph."""
     edges = cut(found.where("pattern is not null").groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
@@ -164,16 +204,29 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = personal_data(docs.drop("base", "spans"))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def piece(block: Column, at: Column) -> Column:
+        """The text from ``at`` to the end of the block's last span, masked."""
+        first = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        length = F.greatest(F.array_max(block["end"]) - at, F.lit(0))
+
+        def step(here: Column, acc: Column, s: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            more = F.array(F.substring(here, acc["at"] - at + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                            F.when(fresh, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+        return let(F.substring(F.col("text"), at + 1, length), lambda here: F.array_join(
+            F.aggregate(block, first, lambda acc, s: step(here, acc, s))["out"], ""))
+
+    def whole(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(blocks, none, lambda acc, b: F.struct(
+            F.greatest(acc["at"], F.array_max(b["end"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
+        return let(starts, lambda s: F.concat(F.array_join(F.zip_with(blocks, s["starts"], piece), ""),
+                                              F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
 
-    masked = F.aggregate(ordered, first, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    masked = let(ordered, lambda spans: let(_blocks(spans), whole))
     return found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
 
 
