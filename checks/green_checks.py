@@ -171,7 +171,7 @@ FROM part WHERE p_partkey % 6 < 4 GROUP BY 1, 2"""
 
 def semi_filter(spark, sf):
     with_green = green.overlap_weights(T.area(spark, sf), T.unified_green(spark, sf)).select("area_code").distinct()
-    return (T.area(spark, sf).join(with_green, "area_code", "left_semi")
+    return (T.area(spark, sf).hint("merge").join(with_green, "area_code", "left_semi")
             .where(~F.col("area_name").startswith("CHINA")).select("area_code", "area_name"))
 
 
@@ -253,7 +253,7 @@ def residential_ndvi(spark, sf):
     """Vegetation inside private (restricted) land-use polygons, and their ground, per area."""
     private = T.unified_green(spark, sf).where(F.col("access_class") == "restricted").select("id", "geom", "kind")
     px = T.pixel_obs(spark, sf).select("x", "y", ndvi(F.col("B08"), F.col("B04")).alias("ndvi"))
-    return (pixels_in_areas(px, private, "id").join(private.select("id", "kind"), "id").groupBy("kind")
+    return (pixels_in_areas(px, private, "id").hint("merge").join(private.select("id", "kind"), "id").groupBy("kind")
             .agg(F.round(F.avg("ndvi"), 9).alias("private_ndvi"), F.count("ndvi").alias("n")))
 
 

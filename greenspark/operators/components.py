@@ -21,9 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").hint("merge").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (large.join(floor, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+        small = (large.hint("merge").join(floor, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
                  .unionByName(floor.select("hi", F.col("m").alias("lo")).where("hi <> lo")).distinct())
         pairs = cut(small)
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -41,9 +41,9 @@ def mask_patches(mask: DataFrame, pixel_m: float, keys: list[str] | None = None)
     here = mask.select(*keys, "row", "col", (F.struct(*keys, place.alias("place")) if keys else place).alias("node")).distinct()
     right = here.select(*keys, "row", (F.col("col") - 1).alias("col"), F.col("node").alias("other"))
     below = here.select(*keys, (F.col("row") - 1).alias("row"), "col", F.col("node").alias("other"))
-    links = here.join(right.unionByName(below), [*keys, "row", "col"]).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    links = here.hint("merge").join(right.unionByName(below), [*keys, "row", "col"]).select(F.col("node").alias("a"), F.col("other").alias("b"))
     labels = connected_components(links)
-    named = here.join(labels, "node", "left").withColumn("patch", F.coalesce("component", "node"))
+    named = here.hint("merge").join(labels, "node", "left").withColumn("patch", F.coalesce("component", "node"))
     if keys:
         named = named.withColumn("patch", F.col("patch.place"))
     return named.groupBy(*keys, "patch").agg(
@@ -67,4 +67,4 @@ def mask_outline(labelled: DataFrame, pixel_m: float, keys: list[str] | None = N
     sides = labelled.select(*keys, F.inline(F.array(
         side(x0, y0, x1, y0, -1, 0), side(x1, y0, x1, y1, 0, 1), side(x1, y1, x0, y1, 1, 0), side(x0, y1, x0, y0, 0, -1))))
     across = labelled.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc"))
-    return sides.join(across, [*keys, "nr", "nc"], "left_anti").select(*keys, "x1", "y1", "x2", "y2")
+    return sides.hint("merge").join(across, [*keys, "nr", "nc"], "left_anti").select(*keys, "x1", "y1", "x2", "y2")

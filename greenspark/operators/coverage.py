@@ -61,7 +61,7 @@ def _state(clipped: Column) -> Column:
 def _split(pieces: DataFrame, keys: list[str], per_tile: int) -> DataFrame:
     """Cut each crowded tile into k x k, k from its own number of features."""
     sizes = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = pieces.join(sizes, keys).withColumn(
+    grid = pieces.hint("merge").join(sizes, keys).withColumn(
         "_k", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_n") / per_tile))).cast("int"))
     w, h = (F.col("tx1") - F.col("tx0")) / F.col("_k"), (F.col("ty1") - F.col("ty0")) / F.col("_k")
     last = F.col("_k") - 1
@@ -153,7 +153,7 @@ def union_area(areas: DataFrame, features: DataFrame, key: str, out: str) -> Dat
         placed = cut(local.where(F.col("_state") != "outside").dropDuplicates([*piece_key, "g_edges"]))
         full = placed.where(F.col("_state") == "covers").groupBy(*piece_key).agg(F.first("a_edges").alias("a_edges"))
         covered = full if covered is None else covered.unionByName(full)
-        open_pieces = placed.where(F.col("_state") == "crosses").drop("_state").join(
+        open_pieces = placed.where(F.col("_state") == "crosses").drop("_state").hint("merge").join(
             full.select(*piece_key), piece_key, "left_anti")
         largest = open_pieces.groupBy(*piece_key).count().agg(F.max("count")).first()[0] or 0
         pieces = open_pieces
@@ -174,7 +174,7 @@ def box_union_area(boxes: DataFrame, keys: list[str], box: str, out: str) -> Dat
     b = boxes.select(*keys, f"{box}.*").distinct()
     xs = b.select(*keys, F.explode(F.array("xmin", "xmax")).alias("x0")).distinct()
     slabs = xs.withColumn("x1", F.lead("x0").over(Window.partitionBy(*keys).orderBy("x0"))).where("x1 is not null")
-    inside = slabs.join(b, keys).where((F.col("xmin") <= F.col("x0")) & (F.col("xmax") >= F.col("x1")))
+    inside = slabs.hint("merge").join(b, keys).where((F.col("xmin") <= F.col("x0")) & (F.col("xmax") >= F.col("x1")))
     slab = Window.partitionBy(*keys, "x0").orderBy("ymin", "ymax")
     reach = F.coalesce(F.max("ymax").over(slab.rowsBetween(Window.unboundedPreceding, -1)), F.col("ymin"))
     gain = F.greatest(F.lit(0.0), F.col("ymax") - F.greatest(F.col("ymin"), reach))

@@ -38,7 +38,7 @@ def split_at_corners(edges: DataFrame, groups: list[str], tolerance: float = 1e-
     inner = F.coalesce(F.transform("_cuts", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))), F.array().cast("array<struct<x:double,y:double>>"))
     chain = F.concat(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))), inner,
                      F.array(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-    return (named.join(cuts, "_edge", "left").select(*groups, F.explode(G.ring_edges(chain)).alias("_e"))
+    return (named.hint("merge").join(cuts, "_edge", "left").select(*groups, F.explode(G.ring_edges(chain)).alias("_e"))
             .select(*groups, "_e.x1", "_e.y1", "_e.x2", "_e.y2"))
 
 
@@ -84,32 +84,32 @@ def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom", t_j
     after = named.select(*groups, F.col("x1").alias("x2"), F.col("y1").alias("y2"),
                          F.col("heading").alias("next_heading"), F.col("id").alias("next"))
     turn = F.pmod(F.col("next_heading") - F.col("heading") + F.lit(3 * 3.141592653589793), F.lit(2 * 3.141592653589793))
-    links = cut(named.join(after, [*groups, "x2", "y2"])
+    links = cut(named.hint("merge").join(after, [*groups, "x2", "y2"])
                 .groupBy(*groups, "id", "x1", "y1", "x2", "y2").agg(F.min_by("next", turn).alias("next")))
     state = links.select(*groups, "id", F.col("next").alias("far"), F.least("id", "next").alias("low"))
     while True:
         there = state.select(*groups, F.col("id").alias("far"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-        doubled = cut(state.join(there, [*groups, "far"])
+        doubled = cut(state.hint("merge").join(there, [*groups, "far"])
                       .select(*groups, "id", F.col("far2").alias("far"), F.least("low", "low2").alias("low"),
                               (F.col("low2") < F.col("low")).alias("changed")))
         state = doubled.drop("changed")
         if not doubled.where("changed").limit(1).count():
             break
     # distance from the smallest edge: doubling again, now along the ring from its start
-    order = links.join(state.select(*groups, "id", F.col("low").alias("ring")), [*groups, "id"])
+    order = links.hint("merge").join(state.select(*groups, "id", F.col("low").alias("ring")), [*groups, "id"])
     walk = order.select(*groups, "ring", "id", F.col("next").alias("jump"), F.lit(1).cast("bigint").alias("steps"))
     walk = walk.withColumn("at_start", F.col("jump") == F.col("ring"))
     while True:
         there = walk.select(*groups, F.col("id").alias("jump"), F.col("jump").alias("jump2"),
                             F.col("steps").alias("steps2"), F.col("at_start").alias("start2"))
-        walk = cut(walk.join(there, [*groups, "jump"]).select(
+        walk = cut(walk.hint("merge").join(there, [*groups, "jump"]).select(
             *groups, "ring", "id",
             F.when(F.col("at_start"), F.col("jump")).otherwise(F.col("jump2")).alias("jump"),
             F.when(F.col("at_start"), F.col("steps")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"),
             (F.col("at_start") | F.col("start2")).alias("at_start")))
         if not walk.where(~F.col("at_start")).limit(1).count():
             break
-    placed = order.join(walk.select(*groups, "id", "steps"), [*groups, "id"])
+    placed = order.hint("merge").join(walk.select(*groups, "id", "steps"), [*groups, "id"])
     pts = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("steps", "x1", "y1")))),
                       lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))
     ring = F.concat(pts, F.slice(pts, 1, 1))

@@ -17,7 +17,7 @@ def with_decile(df: DataFrame, score: str, key: str, out: str, tiles: int = 10)
     head = extra * (size + 1)
     tile = F.when(F.col("_row") <= head, F.floor((F.col("_row") - 1) / (size + 1)) + 1).otherwise(
         extra + F.floor(F.try_divide(F.col("_row") - 1 - head, size)) + 1)
-    return df.join(numbered.select(key, tile.cast("int").alias(out)), key)
+    return df.hint("merge").join(numbered.select(key, tile.cast("int").alias(out)), key)
 
 
 def borough_equity(lsoa: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def area_surprise(anomalies: DataFrame, areas: DataFrame, lsoa: DataFrame, key:
     access = lsoa.groupBy(key).agg(
         F.avg("green_per_capita_m2").alias("green_per_capita_m2"),
         F.avg(F.col("angst_compliant_2ha_300m").cast("int")).alias("angst_compliant_share"))
-    return (anomalies.join(areas, key).join(access, key, "left")
+    return (anomalies.hint("merge").join(areas, key).hint("merge").join(access, key, "left")
             .withColumn("surprise_score", surprise_equity(F.col("residual_z"), F.col("angst_compliant_share"))))
 
 

@@ -68,7 +68,7 @@ def green_area_per_area(areas: DataFrame, greens: DataFrame, out: str, key: str
 def green_share(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
     """Area-weighted green share per ``key``; areas of one key are taken together."""
     sizes = areas.groupBy(key).agg(F.sum(G.area(G.normalise(F.col("geom")))).alias("area_m2"))
-    return (green_area_per_area(areas, greens, "green_m2_gross", key).join(sizes, key)
+    return (green_area_per_area(areas, greens, "green_m2_gross", key).hint("merge").join(sizes, key)
             .select(key, "green_m2_gross", "area_m2",
                     F.try_divide("green_m2_gross", F.nullif(F.col("area_m2"), F.lit(0.0))).alias("green_share")))
 
@@ -76,7 +76,7 @@ def green_share(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
 def green_share_dissolved(areas: DataFrame, greens: DataFrame, key: str) -> DataFrame:
     """As ``green_share``, but ground below several overlapping features counts once."""
     sizes = areas.groupBy(key).agg(F.sum(G.area(G.normalise(F.col("geom")))).alias("area_m2"))
-    return (union_area(areas, greens, key, "green_m2_dissolved").join(sizes, key)
+    return (union_area(areas, greens, key, "green_m2_dissolved").hint("merge").join(sizes, key)
             .select(key, "green_m2_dissolved", "area_m2",
                     F.try_divide("green_m2_dissolved", F.nullif(F.col("area_m2"), F.lit(0.0))).alias("green_share")))
 
@@ -110,7 +110,7 @@ def angst(areas: DataFrame, greens: DataFrame, radius: float = SEARCH_RADIUS_M)
                              .otherwise(F.lit(0.0)).alias("m2"))
                 .groupBy("area_code").agg(F.min("d").alias("dist_to_public_green_2ha_m"),
                                           F.sum("m2").alias("public_green_m2")))
-    return (shaped.select("area_code", "population").join(per_area, "area_code", "left")
+    return (shaped.select("area_code", "population").hint("merge").join(per_area, "area_code", "left")
             .withColumn("public_green_m2", F.coalesce("public_green_m2", F.lit(0.0)))
             .withColumn("public_green_per_capita_m2",
                         F.try_divide("public_green_m2", F.nullif(F.col("population"), F.lit(0)).cast("double"))))
@@ -125,7 +125,7 @@ def access_flags(areas: DataFrame, greens: DataFrame, near_m: float = 300.0, any
                     large_public(greens), "id", "g_edges", "g_box", "large_id", "dist_large_m")
     small = nearest(centres.select("area_code", "cx", "cy"), "area_code", "cx", "cy",
                     public, "id", "g_edges", "g_box", "any_id", "dist_any_m")
-    return (centres.drop("cx", "cy").join(large, "area_code", "left").join(small, "area_code", "left")
+    return (centres.drop("cx", "cy").hint("merge").join(large, "area_code", "left").hint("merge").join(small, "area_code", "left")
             .withColumn("angst_compliant_2ha_300m", F.coalesce(F.col("dist_large_m") <= near_m, F.lit(False)))
             .withColumn("within_400m_public_green", F.coalesce(F.col("dist_any_m") <= any_m, F.lit(False))))
 

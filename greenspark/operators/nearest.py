@@ -44,12 +44,12 @@ def nearest(points: DataFrame, point_id: str, x: str, y: str, polygons: DataFram
     reps = cells(corners, "_rx", "_ry").groupBy("_level", "_lx", "_ly").agg(F.min(F.struct("_rx", "_ry")).alias("_rep"))
     placed = points.select(point_id, px.cast("double").alias("_px"), py.cast("double").alias("_py")).where("_px is not null and _py is not null")
     far = F.hypot(F.col("_px") - F.col("_rep._rx"), F.col("_py") - F.col("_rep._ry"))
-    bounds = (cells(placed, "_px", "_py").join(reps, ["_level", "_lx", "_ly"])
+    bounds = (cells(placed, "_px", "_py").hint("merge").join(reps, ["_level", "_lx", "_ly"])
               .groupBy(point_id, "_px", "_py").agg((F.min(far) * (1 + 1e-12)).alias("_bound")))
     here = G.box(F.col("_px"), F.col("_py"), F.col("_px"), F.col("_py"))
     reached = cut(bounds.withColumn("_reach", spatial.grow(here, F.col("_bound"))))
     met = (spatial.box_join(reached, shapes.select("_pid", "_box"), "_reach", "_box")
            .where(G.box_distance(here, F.col("_box")) <= F.col("_bound")).select(point_id, "_px", "_py", "_pid"))
     best = F.min(F.struct(G.distance_xy(F.col("_edges"), F.col("_px"), F.col("_py")).alias("d"), F.col("_pid").alias("id")))
-    return (met.join(shapes.select("_pid", "_edges"), "_pid").groupBy(point_id).agg(best.alias("_best"))
+    return (met.hint("merge").join(shapes.select("_pid", "_edges"), "_pid").groupBy(point_id).agg(best.alias("_best"))
             .select(point_id, F.col("_best.id").alias(out_id), F.col("_best.d").alias(out_distance)))

@@ -89,7 +89,7 @@ def yearly_composite(obs: DataFrame, keys: list[str], value: str, scene: str) ->
     medians = quantiles(valid, keys, value, {f"{value}_median": 0.5})
     scenes = valid.groupBy(*keys, scene).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_scenes"))
-    return medians.join(scenes, keys)
+    return medians.hint("merge").join(scenes, keys)
 
 
 def season(obs: DataFrame, date: str, first_month: int = 6, last_month: int = 8) -> DataFrame:
@@ -99,7 +99,7 @@ def season(obs: DataFrame, date: str, first_month: int = 6, last_month: int = 8)
 def change(early: DataFrame, late: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Late minus early for pixels valid in both dates."""
     e = early.select(*keys, F.col(value).alias("_early"))
-    return (late.select(*keys, F.col(value).alias("_late")).join(e, keys)
+    return (late.select(*keys, F.col(value).alias("_late")).hint("merge").join(e, keys)
             .select(*keys, F.col("_early").alias("early"), F.col("_late").alias("late"),
                     (F.col("_late") - F.col("_early")).alias("delta")))
 
@@ -173,7 +173,7 @@ def resample_grid(grid: DataFrame, pixels: DataFrame, value: str, size: float, t
              .where("_w > 0"))
     keys = keys or []
     source = pixels.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), value)
-    return (asked.join(source, ["_sr", "_sc"]).groupBy(*keys, "row", "col")
+    return (asked.hint("merge").join(source, ["_sr", "_sc"]).groupBy(*keys, "row", "col")
             .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value), F.sum("_w").alias("weight")))
 
 

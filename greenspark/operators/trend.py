@@ -26,7 +26,7 @@ def cell_trend(series: DataFrame, min_years: int = 5, cell: str = "cell") -> Dat
 
 def area_trend(trend: DataFrame, lookup: DataFrame, areas: DataFrame, cell: str = "cell", key: str = "area_code") -> DataFrame:
     """Mean and spread of the cell slopes per area."""
-    return (trend.join(lookup.select(cell, key), cell).join(areas.select(key), key)
+    return (trend.hint("merge").join(lookup.select(cell, key), cell).hint("merge").join(areas.select(key), key)
             .groupBy(key).agg(F.avg("slope_per_year").alias("mean_slope"),
                               F.stddev_samp("slope_per_year").alias("slope_sd"), F.avg("r2").alias("mean_r2")))
 

@@ -119,7 +119,7 @@ def warp(tiles: DataFrame, source: int, target: int, grid: tuple[float, float, f
              .withColumn("_p", F.explode(F.array(F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), back))))
              .select("raster_id", "band", "_r", "_c", F.transform("_p", lambda p: (p["x"] - a["c"]) / a["a"] - 0.5).alias("us"),
                      F.transform("_p", lambda p: (p["y"] - a["f"]) / a["e"] - 0.5).alias("vs")))
-    around = pairs.drop("affine").join(tiles.select(*_KEYS, "h", "w", "tile_size", "values"), _KEYS)
+    around = pairs.drop("affine").hint("merge").join(tiles.select(*_KEYS, "h", "w", "tile_size", "values"), _KEYS)
     around = around.toDF(*[{"raster_id": "s_raster", "band": "s_band", "_r": "s_r", "_c": "s_c"}.get(c, c) for c in around.columns])
     made = (asked.groupBy("raster_id", "band", "_r", "_c").cogroup(around.groupBy("s_raster", "s_band", "s_r", "s_c"))
             .applyInPandas(_looked_up(size), _OUT))
@@ -142,7 +142,7 @@ def mosaic(tiles: DataFrame, grid: tuple[float, float, float, float], size: int
     crowd = tiles.groupBy(*places).agg(F.ceil(F.count(F.lit(1)) / SCENES_AT_ONCE).alias("_copies"))
     known = F.transform("values", lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(1.0))
     filled = F.transform("values", lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v))
-    dealt = (tiles.join(crowd, places).withColumn("_copy", F.pmod(F.xxhash64("raster_id"), F.col("_copies")))
+    dealt = (tiles.hint("merge").join(crowd, places).withColumn("_copy", F.pmod(F.xxhash64("raster_id"), F.col("_copies")))
              .select(*places, "_copy", filled.alias("total"), known.alias("n")))
     sums = dealt.groupBy(*places, "_copy").applyInPandas(added, form).groupBy(*places).applyInPandas(added, form)
     mean = F.zip_with("total", "n", lambda t, k: F.when(k > 0, t / k).otherwise(float("nan")))
