@@ -70,6 +70,19 @@ def dissolved_edges(areas: DataFrame, groups: list[str], geom: str = "geom", t_j
                       directed("bx", "ax").alias("x2"), directed("by", "ay").alias("y2"))
 
 
+def _looked_up(asked: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with the one row of ``there`` per key, as a union and a grouping; few rows may ask for one key.
+
+    The size Spark estimates for a join is the product of both sides.  Joined with itself round after round, a table gets an
+    estimate with twice the digits each time, until planning with these numbers takes far longer than the work.
+    """
+    mine, theirs = ([c for c in df.columns if c not in keys] for df in (asked, there))
+    both = asked.select(*keys, F.struct(*mine).alias("_asked")).unionByName(
+        there.select(*keys, F.struct(*theirs).alias("_there")), allowMissingColumns=True)
+    met = both.groupBy(*keys).agg(F.collect_list("_asked").alias("_asked"), F.first("_there", ignorenulls=True).alias("_there"))
+    return met.where("_there is not null").select(*keys, F.explode("_asked").alias("_asked"), "_there").select(*keys, "_asked.*", "_there.*")
+
+
 def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom", t_junctions: bool = False) -> DataFrame:
     """One closed ring per row, stitched from the outline edges by pointer doubling.
 
@@ -89,7 +102,7 @@ def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom", t_j
     state = links.select(*groups, "id", F.col("next").alias("far"), F.least("id", "next").alias("low"))
     while True:
         there = state.select(*groups, F.col("id").alias("far"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-        doubled = cut(state.hint("merge").join(there, [*groups, "far"])
+        doubled = cut(_looked_up(state, there, [*groups, "far"])
                       .select(*groups, "id", F.col("far2").alias("far"), F.least("low", "low2").alias("low"),
                               (F.col("low2") < F.col("low")).alias("changed")))
         state = doubled.drop("changed")
@@ -102,11 +115,10 @@ def dissolved_rings(areas: DataFrame, groups: list[str], geom: str = "geom", t_j
     while True:
         there = walk.select(*groups, F.col("id").alias("jump"), F.col("jump").alias("jump2"),
                             F.col("steps").alias("steps2"), F.col("at_start").alias("start2"))
-        walk = cut(walk.hint("merge").join(there, [*groups, "jump"]).select(
-            *groups, "ring", "id",
-            F.when(F.col("at_start"), F.col("jump")).otherwise(F.col("jump2")).alias("jump"),
-            F.when(F.col("at_start"), F.col("steps")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"),
-            (F.col("at_start") | F.col("start2")).alias("at_start")))
+        # edges at their start stay as they are; each of the others points to an edge of its own
+        further = _looked_up(walk.where(~F.col("at_start")), there, [*groups, "jump"]).select(
+            *groups, "ring", "id", F.col("jump2").alias("jump"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("start2").alias("at_start"))
+        walk = cut(walk.where("at_start").select(*further.columns).unionByName(further))
         if not walk.where(~F.col("at_start")).limit(1).count():
             break
     placed = order.hint("merge").join(walk.select(*groups, "id", "steps"), [*groups, "id"])
