@@ -11,7 +11,8 @@ the public library.
 
 No piece holds a space mark after another character, so paths always meet before a space; the ids of such a stretch
 depend on the stretch alone.  Every distinct stretch goes through the lattice once and the ids of texts are joined from the stretches'
-(the last ``MEMO_CHARS`` to twice as many characters of them are remembered; results do not depend on it).
+(the last ``MEMO_CHARS`` to twice as many characters of them are remembered; results do not depend on it).  The new stretches of
+some texts go through in sorted order, so the lattice of each goes on from where its characters part from those of the one before.
 
 Defined results: null gives null ids, empty text an empty list; characters outside the vocabulary become their bytes;
 control pieces in a text are ordinary text; repeated rows give equal rows; other columns are kept.
@@ -23,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO = 400_000
-MEMO_CHARS = 6_000_000
+MEMO_CHARS = 1_500_000
 AT_ONCE = 512  # texts encoded together
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -244,31 +246,48 @@ class Stretches(dict):
         self.older = older
 
     def __missing__(self, stretch: str) -> int:
-        code, older = len(self.same), self.older
-        known = older.get(stretch) if older is not None else None
-        if known is not None:
-            self.flat.extend(older.flat[older.starts[known]:older.starts[known + 1]])
-            self.same.append(older.same[known])
-        else:
-            ids = self.found(stretch)
-            self.flat.extend(ids)
-            self.same.append(_shown(self.model, ids) == stretch)
-        self.starts.append(len(self.flat))
-        self.chars += len(stretch)
-        self[stretch] = code
-        return code
-
-    def found(self, stretch: str) -> list[int]:
-        model, ids = self.model, []
+        self.learn([stretch])
+        return self[stretch]
+
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Enter new stretches.  ``last`` is the lattice of the characters ``tail``; the next stretch keeps what belongs to their common start."""
+        model, older, short = self.model, self.older, 2 * self.model.longest
+        extend = _extend_stable if model.kind == "bpe" else _extend_scored
         vocabulary = model.vocabulary
-        for some in viterbi_stream(model, (stretch,)):
-            for piece in some:
-                entry = vocabulary.get(piece)
-                if entry:
-                    ids.append(entry[0])
+        tail: str = ""
+        last: list[str | None] = [""]
+        scores = [0.0]
+        for stretch in sorted(stretches):
+            known = older.get(stretch) if older is not None else None
+            if known is not None:
+                ids, same = older.flat[older.starts[known]:older.starts[known + 1]], older.same[known]
+            else:
+                if len(stretch) < short:  # as long as the stream holds characters back
+                    shared = 0
+                    for a, b in zip(tail, stretch, strict=False):
+                        if a != b:
+                            break
+                        shared += 1
+                    del last[shared + 1:], scores[shared + 1:]
+                    tail = stretch
+                    extend(model, tail, last, scores)
+                    pieces, at = [], len(tail)
+                    while at:
+                        pieces.append(last[at])
+                        at -= len(last[at])
+                    pieces.reverse()
                 else:
-                    ids += model.ids_of(piece)
-        return ids
+                    pieces = [piece for some in viterbi_stream(model, (stretch,)) for piece in some]
+                try:
+                    ids, same = [vocabulary[piece][0] for piece in pieces], True  # whole pieces show as they are
+                except KeyError:
+                    ids = [i for piece in pieces for i in model.ids_of(piece)]
+                    same = _shown(model, ids) == stretch
+            self[stretch] = len(self.same)
+            self.flat.extend(ids)
+            self.same.append(same)
+            self.starts.append(len(self.flat))
+            self.chars += len(stretch)
 
 
 def _parts(model: PieceModel, text: str) -> list[str]:
@@ -292,12 +311,11 @@ def encode_batch(model: PieceModel, texts: list[str | None]) -> tuple[np.ndarray
     Texts are joined from stretches: where all of a text's stretches come back, the text does, unless it holds the space mark itself.
     """
     table = model.stretches()
-    codes, sizes = [], []
-    for text in texts:
-        found = list(map(table.__getitem__, _parts(model, text))) if text else []
-        sizes.append(len(found))
-        codes.extend(found)
-    at, flat, starts = np.array(codes, np.int64), np.array(table.flat, np.int32), np.array(table.starts)
+    parts = [_parts(model, text) if text else [] for text in texts]
+    table.learn(set().union(*parts).difference(table))
+    sizes = list(map(len, parts))
+    at = np.fromiter(map(table.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+    flat, starts = np.array(table.flat, np.int32), np.array(table.starts)
     lengths = starts[at + 1] - starts[at]
     ends = np.cumsum(lengths)
     ids = flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]

@@ -18,6 +18,26 @@ def model():
         return f.read()
 
 
+def test_pieces_of_stretches_with_a_common_start(model, monkeypatch):
+    ours, theirs = pieces.PieceModel(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice(("ba", "re", "tion", "st", "é")) for _ in range(rnd.randrange(1, 7))) for _ in range(3000)] + ["x" * 300, "\u4e50" * 3, "ba\u4e50"]
+    rnd.shuffle(words)
+    texts = [" ".join(words[k:k + 60]) for k in range(0, len(words), 60)] + ["", None]
+    places = []
+    extend = pieces._extend_stable
+    monkeypatch.setattr(pieces, "_extend_stable", lambda m, tail, last, scores: (places.append(len(tail) + 1 - len(last)), extend(m, tail, last, scores)))
+    ids, counts, back = pieces.encode_batch(ours, texts)
+    assert ids.tolist() == [i for t in texts if t for i in theirs.encode(t)]
+    assert counts.tolist() == [len(theirs.encode(t)) if t else 0 for t in texts] and back == [True] * (len(texts) - 1) + [None]
+    distinct = {p for t in texts if t for p in pieces._parts(ours, t)}
+    assert sum(places) < 0.6 * sum(map(len, distinct))  # a common start goes through the lattice once
+    monkeypatch.setattr(pieces, "MEMO_CHARS", 500)  # tables that begin anew give the same ids
+    small = pieces.PieceModel(model)
+    again = [i for k in range(0, len(texts), 7) for i in pieces.encode_batch(small, texts[k:k + 7])[0].tolist()]
+    assert again == ids.tolist() and small.known.older is not None
+
+
 def test_pieces_equal_the_public_library(model):
     ours, theirs = pieces.PieceModel(model), sentencepiece.SentencePieceProcessor(model_proto=model)
     rnd = random.Random(1)
