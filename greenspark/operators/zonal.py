@@ -140,11 +140,13 @@ def tile_zonal_stats(tiles: DataFrame, areas: DataFrame, key: str = "area_code")
     shaped = spatial.part_shapes(areas.select(F.col(key).alias("_key"), "geom"), ["_key"], "_edges", "_box")
     pairs = spatial.box_join(_tile_boxes(tiles), shaped, "_tbox", "_box")
     t = F.col("_tbox")
-    near = F.exists("_edges", lambda e: (F.least(e["x1"], e["x2"]) <= t["xmax"]) & (F.greatest(e["x1"], e["x2"]) >= t["xmin"])
-                    & (F.least(e["y1"], e["y2"]) <= t["ymax"]) & (F.greatest(e["y1"], e["y2"]) >= t["ymin"]))
-    met = cut(spatial.once(pairs, "_near", near).select(
-        *TILE_KEYS, "_key", "_near", F.when(F.col("_near"), F.col("_edges")).alias("_edges"),
-        F.when(~F.col("_near"), G.contains_xy(F.col("_edges"), (t["xmin"] + t["xmax"]) / 2, (t["ymin"] + t["ymax"]) / 2)).alias("_in")))
+    # rows of pixels meet no other edges, and those to the right of the tile turn nothing in it
+    beside = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= t["ymax"]) & (F.greatest(e["y1"], e["y2"]) >= t["ymin"]))
+    near = F.exists("_beside", lambda e: (F.least(e["x1"], e["x2"]) <= t["xmax"]) & (F.greatest(e["x1"], e["x2"]) >= t["xmin"]))
+    level = spatial.once(pairs, "_beside", beside).drop("_edges")
+    met = cut(spatial.once(level, "_near", near).select(
+        *TILE_KEYS, "_key", "_near", F.when(F.col("_near"), F.filter("_beside", lambda e: F.least(e["x1"], e["x2"]) <= t["xmax"])).alias("_edges"),
+        F.when(~F.col("_near"), G.contains_xy(F.col("_beside"), (t["xmin"] + t["xmax"]) / 2, (t["ymin"] + t["ymax"]) / 2)).alias("_in")))
     whole = met.where("_in").select(*TILE_KEYS, "_key").hint("merge").join(_tile_sums(tiles), TILE_KEYS).where("n > 0").select(
         "raster_id", "band", F.col("_key").alias("key"), "n", "total", "spread", "low", "high")
     outline = F.flatten(F.transform("_edges", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))

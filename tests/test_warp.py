@@ -80,6 +80,23 @@ def test_tile_statistics_equal_pixels(spark):
         zonal.tile_zonal_stats(tiles_of(spark, cells, 8, (10.0, 1.0, 0.0, 0.0, -10.0, 400.0)), areas).collect()
 
 
+def test_tiles_travel_with_the_edges_beside_them(spark, monkeypatch):
+    n = 60
+    ring = [(200 + 150 * math.cos(2 * math.pi * k / n), 200 + 150 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    areas = spark.createDataFrame([("round", ring_geom(ring))], f"area_code string, geom {G.GEOM_TYPE}")
+    tiles = tiles_of(spark, {(r, c): (r * 40 + c) / 1600 for r in range(40) for c in range(40)}, 8, (10.0, 0.0, 0.0, 0.0, -10.0, 400.0))
+    held = []
+    original = zonal.cut
+    monkeypatch.setattr(zonal, "cut", lambda df: held.append(original(df)) or held[-1])
+    got = zonal.tile_zonal_stats(tiles, areas).collect()
+    pixels = raster.explode_tiles(tiles, "v").where("v is not null")
+    want = zonal.zonal_stats(zonal.pixels_in_areas(pixels, areas), "v").collect()
+    assert [(r.n, r.min, r.max) for r in got] == [(r.n, r.min, r.max) for r in want]
+    assert got[0].mean == pytest.approx(want[0]["mean"]) and got[0]["std"] == pytest.approx(want[0]["std"])
+    sizes = [len(r["_edges"]) for r in held[0].where("_edges is not null").collect()]
+    assert sizes and max(sizes) < 0.7 * n  # not the whole outline with every tile
+
+
 def test_nearest_in_a_crowded_place(spark):
     rnd = random.Random(7)
     boxes = [(f"p{k:04d}", 1000 + rnd.random() * 3, 1000 + rnd.random() * 3, 0.02) for k in range(600)]
