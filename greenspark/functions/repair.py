@@ -15,6 +15,8 @@ without any has no parts; a valid geometry is returned as it came.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -143,36 +145,53 @@ def _misplaced(r: Rings, out: np.ndarray) -> None:
     out[r.ring_geom[rings[wrong]]] = True
 
 
-def _outline(edges: np.ndarray, rule: str) -> np.ndarray:
-    """Directed pieces with the inside to the left and the outside to the right, see ``_sides`` for ``rule``.
+def _outline(edges: np.ndarray, group: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Directed pieces of each group, with the inside to the left and the outside to the right, see ``_sides`` for ``rule``; and their groups.
 
-    Points are rounded to a grid; where rounding leaves a crossing that is neither cut nor closed, a coarser grid is taken.
+    Points are rounded to a grid; where rounding leaves a crossing that is neither cut nor closed, that group takes a coarser grid.
     """
-    grid = RELATIVE_GRID * 2.0 ** np.ceil(np.log2(max(np.abs(edges).max(), 1e-300)))
-    while True:
-        snapped = np.round(edges / grid) * grid
-        snapped = snapped[(snapped[:, 0] != snapped[:, 2]) | (snapped[:, 1] != snapped[:, 3])]
-        done, noded = _cut_rounds(snapped, grid)
-        outline = _sides(noded, rule)
-        if done and (np.sort(outline[:, 0] + 1j * outline[:, 1]) == np.sort(outline[:, 2] + 1j * outline[:, 3])).all():
-            return outline
-        grid *= 16
-
-
-def _cut_rounds(edges: np.ndarray, grid: float) -> tuple[bool, np.ndarray]:
+    if not len(edges):
+        return edges, group
+    largest = np.zeros(group.max() + 1)
+    np.maximum.at(largest, group, np.abs(edges).max(axis=1))
+    grid = RELATIVE_GRID * 2.0 ** np.ceil(np.log2(np.maximum(largest, 1e-300)))
+    found, groups = [], []
+    while len(edges):
+        size = grid[group][:, None]
+        snapped = np.round(edges / size) * size
+        long = (snapped[:, 0] != snapped[:, 2]) | (snapped[:, 1] != snapped[:, 3])
+        again, noded, own = _cut_rounds(snapped[long], group[long], grid)
+        outline, own = _sides(noded, own, rule)
+        starts, ends = (np.lexsort((outline[:, k + 1], outline[:, k], own)) for k in (0, 2))
+        apart = (outline[starts, :2] != outline[ends, 2:]).any(axis=1)
+        again[own[starts[apart]]] = True
+        found.append(outline[~again[own]])
+        groups.append(own[~again[own]])
+        grid[again] *= 16
+        edges, group = edges[again[group]], group[again[group]]
+    found, groups = np.concatenate(found), np.concatenate(groups)
+    order = np.argsort(groups, kind="stable")
+    return found[order], groups[order]
+
+
+def _cut_rounds(edges: np.ndarray, group: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of each group cut until nothing meets but at ends: (groups where that does not come to an end, edges, their groups)."""
+    unfinished = np.zeros(len(grid), bool)
+    done, done_group = [], []
     for _ in range(40):
         x1, y1, x2, y2 = edges.T
+        size = grid[group]
         owner, where_x, where_y = [], [], []
 
         def cut(k, x, y):
             """Cut edge k at a point that is not one of its ends."""
-            free = (np.hypot(x - x1[k], y - y1[k]) > grid) & (np.hypot(x - x2[k], y - y2[k]) > grid)
+            free = (np.hypot(x - x1[k], y - y1[k]) > size[k]) & (np.hypot(x - x2[k], y - y2[k]) > size[k])
             owner.append(k[free])
             where_x.append(x[free])
             where_y.append(y[free])
 
-        for i, j in interval_pairs(np.zeros(len(edges), np.int64), np.minimum(x1, x2) - grid, np.maximum(x1, x2) + grid):
-            near = ((np.minimum(y1[i], y2[i]) - grid <= np.maximum(y1[j], y2[j])) & (np.minimum(y1[j], y2[j]) - grid <= np.maximum(y1[i], y2[i])))
+        for i, j in interval_pairs(group, np.minimum(x1, x2) - size, np.maximum(x1, x2) + size):
+            near = ((np.minimum(y1[i], y2[i]) - size[i] <= np.maximum(y1[j], y2[j])) & (np.minimum(y1[j], y2[j]) - size[j] <= np.maximum(y1[i], y2[i])))
             i, j = i[near], j[near]
             touched = np.zeros(len(i), bool)
             for a, b in ((i, j), (j, i)):
@@ -181,8 +200,8 @@ def _cut_rounds(edges: np.ndarray, grid: float) -> tuple[bool, np.ndarray]:
                 for px, py in ((x1[a], y1[a]), (x2[a], y2[a])):
                     t = ((px - x1[b]) * dx + (py - y1[b]) * dy) / length2
                     gap = np.abs((px - x1[b]) * dy - (py - y1[b]) * dx) / np.sqrt(length2)
-                    on = (gap <= grid) & (t > 0) & (t < 1)
-                    touched |= on | (np.hypot(px - x1[b], py - y1[b]) <= grid) | (np.hypot(px - x2[b], py - y2[b]) <= grid)
+                    on = (gap <= size[b]) & (t > 0) & (t < 1)
+                    touched |= on | (np.hypot(px - x1[b], py - y1[b]) <= size[b]) | (np.hypot(px - x2[b], py - y2[b]) <= size[b])
                     cut(b[on], px[on], py[on])
             i, j = i[~touched], j[~touched]
             crossing = ((_side(x1[i], y1[i], x2[i], y2[i], x1[j], y1[j]) * _side(x1[i], y1[i], x2[i], y2[i], x2[j], y2[j]) < 0)
@@ -190,56 +209,68 @@ def _cut_rounds(edges: np.ndarray, grid: float) -> tuple[bool, np.ndarray]:
             i, j = i[crossing], j[crossing]
             dx1, dy1, dx2, dy2 = x2[i] - x1[i], y2[i] - y1[i], x2[j] - x1[j], y2[j] - y1[j]
             t = ((x1[j] - x1[i]) * dy2 - (y1[j] - y1[i]) * dx2) / (dx1 * dy2 - dy1 * dx2)
-            x, y = np.round((x1[i] + t * dx1) / grid) * grid, np.round((y1[i] + t * dy1) / grid) * grid
+            x, y = np.round((x1[i] + t * dx1) / size[i]) * size[i], np.round((y1[i] + t * dy1) / size[i]) * size[i]
             cut(i, x, y)
             cut(j, x, y)
         owner, x, y = (np.concatenate(v) if v else np.empty(0) for v in (owner, where_x, where_y))
-        if not len(owner):
-            return True, edges
         owner = owner.astype(int)
+        unfinished[:] = False
+        unfinished[group[owner]] = True
+        going = unfinished[group]
+        done.append(edges[~going])
+        done_group.append(group[~going])
+        if not len(owner):
+            edges, group = edges[going], group[going]
+            break
         t = (x - x1[owner]) * (x2[owner] - x1[owner]) + (y - y1[owner]) * (y2[owner] - y1[owner])
         order = np.lexsort((t, owner))
         owner, x, y = owner[order], x[order], y[order]
-        whole = np.ones(len(edges), bool)
+        whole = going.copy()
         whole[owner] = False
         opens, closes = np.append(True, owner[1:] != owner[:-1]), np.append(owner[1:] != owner[:-1], True)
         from_x, from_y = np.where(opens, x1[owner], np.roll(x, 1)), np.where(opens, y1[owner], np.roll(y, 1))
         pieces = np.column_stack([from_x, from_y, x, y])
         tails = np.column_stack([x[closes], y[closes], x2[owner[closes]], y2[owner[closes]]])
-        edges = np.concatenate([edges[whole], pieces, tails])
-        edges = edges[(edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])]
-    return False, edges
-
-
-def _stabbed(low: np.ndarray, high: np.ndarray, points: np.ndarray):
-    """(interval, point) for every point in a closed interval."""
-    order = np.argsort(points, kind="stable")
-    first, last = np.searchsorted(points[order], low, "left"), np.searchsorted(points[order], high, "right")
+        edges, group = np.concatenate([edges[whole], pieces, tails]), np.concatenate([group[whole], group[owner], group[owner[closes]]])
+        long = (edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])
+        edges, group = edges[long], group[long]
+    return unfinished, np.concatenate([*done, edges]), np.concatenate([*done_group, group])
+
+
+def _stabbed(group: np.ndarray, low: np.ndarray, high: np.ndarray, points: np.ndarray):
+    """(interval, point) for every point in a closed interval of its group."""
+    ranks = np.unique(np.concatenate([low, high, points]))
+    key_low, key_high, key = (group * np.int64(len(ranks)) + np.searchsorted(ranks, v) for v in (low, high, points))
+    order = np.argsort(key, kind="stable")
+    first, last = np.searchsorted(key[order], key_low, "left"), np.searchsorted(key[order], key_high, "right")
     counts = last - first
     owner = np.repeat(np.arange(len(low)), counts)
     return owner, order[np.repeat(first, counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)]
 
 
-def _sides(edges: np.ndarray, rule: str) -> np.ndarray:
-    """Noded pieces that have inside on one side only, directed so that it lies to the left.
+def _sides(edges: np.ndarray, group: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Noded pieces of each group that have inside on one side only, directed so that it lies to the left; and their groups.
 
     ``rule``: "odd" (below an odd number of pieces), "around" (wound around at all) or "left" (more often to the left of pieces).
     """
+    if not len(edges):
+        return edges, group
     forward = (edges[:, 0] < edges[:, 2]) | ((edges[:, 0] == edges[:, 2]) & (edges[:, 1] < edges[:, 3]))
     sorted_ = np.where(forward[:, None], edges, edges[:, [2, 3, 0, 1]])
-    pieces, which = np.unique(sorted_, axis=0, return_inverse=True)
-    which = which.ravel()
+    order = np.lexsort((*sorted_.T[::-1], group))
+    sorted_, group, forward = sorted_[order], group[order], forward[order]
+    fresh = np.append(True, (group[1:] != group[:-1]) | (sorted_[1:] != sorted_[:-1]).any(axis=1))
+    which = np.cumsum(fresh) - 1
+    pieces, group = sorted_[fresh], group[fresh]
     turns = np.bincount(which, weights=np.where(forward, 1, -1), minlength=len(pieces)).astype(int)
     layers = np.bincount(which, minlength=len(pieces))
     amount = layers if rule == "odd" else turns
-    if not len(pieces):
-        return pieces
     x1, y1, x2, y2 = pieces.T
     upright = x1 == x2
     mx, my = (x1 + x2) / 2, (y1 + y2) / 2
     above = np.zeros(len(pieces), int)  # pieces above the middle; for an upright piece: right of it
     left = np.zeros(len(pieces), int)
-    j, k = _stabbed(x1, x2, mx)
+    j, k = _stabbed(group, x1, x2, mx)
     keep = (j != k) & ~upright[j]
     j, k = j[keep], k[keep]
     over = y1[j] + (y2[j] - y1[j]) * ((mx[k] - x1[j]) / (x2[j] - x1[j])) > my[k]
@@ -254,7 +285,7 @@ def _sides(edges: np.ndarray, rule: str) -> np.ndarray:
     left_in = inside(np.where(upright, left, above))
     right_in = inside(np.where(upright, above, above + amount))
     border = left_in != right_in
-    return np.where(left_in[border, None], pieces[border], pieces[border][:, [2, 3, 0, 1]])
+    return np.where(left_in[border, None], pieces[border], pieces[border][:, [2, 3, 0, 1]]), group[border]
 
 
 def _signed_area(ring: list[tuple[float, float]]) -> float:
@@ -299,17 +330,13 @@ def _walked(outline: np.ndarray) -> list[list[tuple[float, float]]]:
     return rings
 
 
-def repaired(shells: list[np.ndarray], holes: list[np.ndarray], even_odd: bool = True) -> list[list[list[tuple[float, float]]]]:
-    """Parts of the area of rings given as edges: a shell counter-clockwise, then its holes clockwise."""
-    if not even_odd:
-        shells = [_outline(e, "around") for e in shells if len(e)]
-        holes = [_outline(e, "around")[:, [2, 3, 0, 1]] for e in holes if len(e)]
-    edges = np.concatenate([np.empty((0, 4)), *shells, *holes])
-    if not len(edges):
-        return []
-    rings = [(ring, _signed_area(ring)) for ring in _walked(_outline(edges, "odd" if even_odd else "left"))]
+def _parts(outline: np.ndarray) -> list[list[list[tuple[float, float]]]]:
+    """Parts of the area of an outline: a shell counter-clockwise, then its holes clockwise."""
+    rings = [(ring, _signed_area(ring)) for ring in _walked(outline)]
     found = [r for r, a in sorted(rings, key=lambda ring: ring[1]) if a > 0]
     parts = [[ring] for ring in found]
+    if len(found) == len(rings):
+        return parts
     bounds = [np.array(ring).T for ring in found]
     for hole in (r for r, a in rings if a < 0):
         x, y = (hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2
@@ -322,13 +349,33 @@ def repaired(shells: list[np.ndarray], holes: list[np.ndarray], even_odd: bool =
     return parts
 
 
-def _rings_of(r: Rings, g: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of the shells and of the holes of one geometry."""
-    sides: tuple[list, list] = ([], [])
-    for ring in np.unique(r.ring[g]):
-        k = g[r.ring[g] == ring]
-        sides[0 if r.is_shell[ring] else 1].append(np.column_stack([r.x1[k], r.y1[k], r.x2[k], r.y2[k]]))
-    return sides
+def repaired(edges: np.ndarray, ring: np.ndarray, geom: np.ndarray, is_shell: np.ndarray, even_odd: bool = True) -> dict[int, list]:
+    """Parts of each geometry with an area, from the edges of its rings (``ring``, ``geom`` and ``is_shell`` say of each edge where it belongs).
+
+    The edges of all geometries are cut and counted together; no edge meets one of another geometry.
+    """
+    if not even_odd:
+        _, first, ring = np.unique(ring, return_index=True, return_inverse=True)
+        edges, ring = _outline(edges, ring.ravel(), "around")
+        geom, is_shell = geom[first][ring], is_shell[first][ring]
+        edges = np.where(is_shell[:, None], edges, edges[:, [2, 3, 0, 1]])
+    outline, geom = _outline(edges, geom, "odd" if even_odd else "left")
+    cuts = np.flatnonzero(np.diff(geom, prepend=-1, append=-1)).tolist()
+    return {int(geom[a]): _parts(outline[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)}
+
+
+def _lists(fixed: list, kind: pa.DataType) -> pa.Array:
+    """Geometries given as parts of rings of (x, y), as an Arrow array of ``kind``."""
+    def offsets(lists):
+        return pa.array(np.concatenate([[0], np.cumsum([len(v) for v in lists], dtype=np.int64)]).astype(np.int32))
+
+    parts = list(chain.from_iterable(fixed))
+    rings = list(chain.from_iterable(parts))
+    xy = np.array(list(chain.from_iterable(rings)), float).reshape(-1, 2)
+    part, ring = kind.value_type, kind.value_type.value_type
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(ring.value_type))
+    return pa.ListArray.from_arrays(offsets(fixed), pa.ListArray.from_arrays(
+        offsets(parts), pa.ListArray.from_arrays(offsets(rings), points, type=ring), type=part), type=kind)
 
 
 def _make_valid(geoms: pa.Array, even_odd: bool) -> pa.Array:
@@ -338,13 +385,20 @@ def _make_valid(geoms: pa.Array, even_odd: bool) -> pa.Array:
     wrong = np.flatnonzero(invalid(r))
     if not len(wrong):
         return geoms
-    order = np.argsort(r.geom, kind="stable")
-    first, last = np.searchsorted(r.geom[order], wrong, "left"), np.searchsorted(r.geom[order], wrong, "right")
-    fixed = [[[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in repaired(*_rings_of(r, order[a:b]), even_odd)]
-             for a, b in zip(first, last, strict=True)]
+    fixed = []
+    weight = np.cumsum(np.bincount(r.geom, minlength=r.n)[wrong].astype(float) ** 2)
+    start = 0
+    while start < len(wrong):  # so many geometries that the pairs of their edges stay within a block
+        stop = max(start + 1, int(np.searchsorted(weight, (weight[start - 1] if start else 0) + BLOCK, "right")))
+        taken = np.zeros(r.n, bool)
+        taken[wrong[start:stop]] = True
+        k = np.flatnonzero(taken[r.geom])
+        found = repaired(np.column_stack([r.x1[k], r.y1[k], r.x2[k], r.y2[k]]), r.ring[k], r.geom[k], r.is_shell[r.ring[k]], even_odd)
+        fixed += [found.get(g, []) for g in wrong[start:stop].tolist()]
+        start = stop
     place = np.arange(len(geoms))
     place[wrong] = len(geoms) + np.arange(len(wrong))
-    return pa.concat_arrays([geoms, pa.array(fixed, geoms.type)]).take(pa.array(place))
+    return pa.concat_arrays([geoms, _lists(fixed, geoms.type)]).take(pa.array(place))
 
 
 @F.arrow_udf(_GEOM)

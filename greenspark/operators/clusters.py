@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from greenspark.operators.spatial import once
+
 BANDS = ["B02", "B03", "B04", "B08"]
 
 
@@ -18,7 +20,7 @@ def fit_centres(pixels: DataFrame, k: int = 6, seed: int = 42, bands: list[str]
 
 
 def assign(pixels: DataFrame, centres: list[list[float]], out: str = "cluster", bands: list[str] = BANDS) -> DataFrame:
-    """Nearest centre per pixel as one expression; ties go to the lower label, nodata gets NULL."""
+    """Nearest centre per pixel as one expression, evaluated once; ties go to the lower label, nodata gets NULL."""
     def squared(centre):
         total = F.lit(0.0)
         for b, v in zip(bands, centre):
@@ -28,7 +30,7 @@ def assign(pixels: DataFrame, centres: list[list[float]], out: str = "cluster",
     known = F.lit(True)
     for b in bands:
         known = known & F.col(b).isNotNull()
-    return pixels.withColumn(out, F.when(known, nearest["i"]))
+    return once(pixels, out, F.when(known, nearest["i"]))
 
 
 def modal_cluster(labelled: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:

@@ -106,3 +106,23 @@ def test_t_junctions_cancel(spark):
     ring, = dissolve.dissolved_rings(shapes.where("grp = 'a'"), ["grp"], t_junctions=True).collect()
     assert ring.area_m2 == 16.0
     assert dissolve.dissolved_edges(shapes.limit(0), ["grp"], t_junctions=True).count() == 0
+
+
+def test_a_batch_is_repaired_together(monkeypatch):
+    import pyarrow as pa
+
+    from greenspark.functions import repair
+
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+    def closed(x, *points):
+        return [{"x": float(x + px), "y": float(py)} for px, py in [*points, points[0]]]
+
+    shapes = [[[closed(k, (0, 0), (2, 1 + k % 3), (2, 0), (0, 1 + k % 3))],
+               [closed(k, (0, 4), (4, 4), (4, 4 + k), (0, 4 + k)), closed(k, (1, 5), (3, 5), (3, 9), (1, 9))]] for k in range(300)]
+    alone = [repair._make_valid(pa.array([shape], kind), even_odd).to_pylist()[0] for shape in shapes[:40] for even_odd in (True, False)]
+    calls, sides = [], repair._sides
+    monkeypatch.setattr(repair, "_sides", lambda *a: calls.append(1) or sides(*a))
+    together = [repair._make_valid(pa.array(shapes, kind), even_odd).to_pylist() for even_odd in (True, False)]
+    assert alone == [rows[k] for k in range(40) for rows in together]
+    assert len(calls) < 20  # not one round or more per geometry
