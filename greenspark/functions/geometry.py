@@ -39,6 +39,11 @@ def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
                     xmax.cast("double").alias("xmax"), ymax.cast("double").alias("ymax"))
 
 
+def _given(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it; NULL stays NULL inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def points(geom: Column) -> Column:
     return F.flatten(F.flatten(geom))
 
@@ -57,10 +62,13 @@ def edges_bbox(edges: Column) -> Column:
 
 
 def ring_edges(ring: Column) -> Column:
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n),
-        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    def joined(points):
+        n = F.greatest(F.size(points) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n),
+            lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+
+    return _given(ring, joined)
 
 
 def edges(geom: Column) -> Column:
@@ -74,9 +82,12 @@ def _signed_sum(edge_list: Column, term) -> Column:
 
 def edges_area(edge_list: Column) -> Column:
     """Shoelace area in trapezoid form, relative to the first vertex to keep the terms small."""
-    y0 = edge_list[0]["y1"]
-    total = _signed_sum(edge_list, lambda e: (e["x1"] - e["x2"]) * ((e["y1"] - y0) + (e["y2"] - y0)))
-    return F.when(F.size(edge_list) > 0, total / 2)
+    def measured(known):
+        total = _given(F.get(known, F.lit(0))["y1"], lambda y0: _signed_sum(
+            known, lambda e: (e["x1"] - e["x2"]) * ((e["y1"] - y0) + (e["y2"] - y0))))
+        return F.when(F.size(known) > 0, total / 2)
+
+    return _given(edge_list, measured)
 
 
 def area(geom: Column) -> Column:
@@ -90,13 +101,17 @@ def perimeter(geom: Column) -> Column:
 
 def edges_centroid(edge_list: Column) -> Column:
     """Area-weighted centroid; NULL when the area is zero."""
-    x0, y0 = edge_list[0]["x1"], edge_list[0]["y1"]
+    def measured(known):
+        return _given(F.get(known, F.lit(0)), lambda first: _centroid_from(known, first["x1"], first["y1"]))
+
+    return _given(edge_list, measured)
+
 
+def _centroid_from(edge_list: Column, x0: Column, y0: Column) -> Column:
     def step(acc, e):
         ax, ay, bx, by = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        cross = ax * by - bx * ay
-        return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (ax + bx) * cross).alias("x"),
-                        (acc["y"] + (ay + by) * cross).alias("y"))
+        return _given(ax * by - bx * ay, lambda cross: F.struct(
+            (acc["a"] + cross).alias("a"), (acc["x"] + (ax + bx) * cross).alias("x"), (acc["y"] + (ay + by) * cross).alias("y")))
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     return F.aggregate(
@@ -151,8 +166,8 @@ def boxes_meet(a: Column, b: Column) -> Column:
 def _clean_ring(ring: Column) -> Column:
     """Drop repeated points and close the ring."""
     kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    return F.when(F.element_at(kept, 1) == F.element_at(kept, -1), kept).otherwise(
-        F.concat(kept, F.slice(kept, 1, 1)))
+    return _given(kept, lambda known: F.when(F.element_at(known, 1) == F.element_at(known, -1), known).otherwise(
+        F.concat(known, F.slice(known, 1, 1))))
 
 
 def normalise(geom: Column) -> Column:

@@ -186,3 +186,11 @@ def test_reference_systems(spark):
     assert row.x == pytest.approx(530030, abs=30) and row.y == pytest.approx(180380, abs=30)
     with pytest.raises(ValueError):
         crs.require_projected(4326)
+
+
+def test_measures_evaluate_their_geometry_once(spark):
+    square = spark.range(1).select(G.rectangle(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("geom"))
+    for measure in (G.area, G.centroid):
+        plan = square.select(measure(G.normalise(F.col("geom"))))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("reverse(") <= 2  # the geometry stands in the measure once, not once per edge and use
+    assert square.select(G.area(G.normalise(F.col("geom")))).first()[0] == 1.0
