@@ -144,8 +144,7 @@ def distance_xy(edge_list: Column, px: Column, py: Column) -> Column:
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         length2 = F.greatest(dx * dx + dy * dy, F.lit(1e-30))
         t = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / length2
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.hypot(px - e["x1"] - t * dx, py - e["y1"] - t * dy)
+        return _given(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), lambda at: F.hypot(px - e["x1"] - at * dx, py - e["y1"] - at * dy))
     return (F.when(contains_xy(edge_list, px, py), F.lit(0.0))
             .otherwise(F.array_min(F.transform(edge_list, to_edge))))
 

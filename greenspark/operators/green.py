@@ -103,11 +103,12 @@ def angst(areas: DataFrame, greens: DataFrame, radius: float = SEARCH_RADIUS_M)
     shaped = spatial.with_shape(areas.select("area_code", "population", G.normalise(F.col("geom")).alias("geom")), "geom", "a_edges", "a_box").drop("geom")
     centred = spatial.once(shaped, "centre", G.edges_centroid(F.col("a_edges")))
     pairs = spatial.within_distance_join(centred.drop("population"), large_public(greens).select("g_edges", "g_box"),
-                                         "a_edges", "g_edges", "a_box", "g_box", radius)
+                                         "a_edges", "g_edges", "a_box", "g_box", radius, exact=False)
+    touching = F.col("gap_m") == 0
+    common = K.overlap_area(F.when(touching, F.col("a_edges")), F.when(touching, F.col("g_edges")))
     per_area = (pairs.select("area_code",
                              G.distance_xy(F.col("g_edges"), F.col("centre.x"), F.col("centre.y")).alias("d"),
-                             F.when(F.col("gap_m") == 0, K.overlap_area("a_edges", "g_edges"))
-                             .otherwise(F.lit(0.0)).alias("m2"))
+                             F.when(touching, common).otherwise(F.lit(0.0)).alias("m2"))
                 .groupBy("area_code").agg(F.min("d").alias("dist_to_public_green_2ha_m"),
                                           F.sum("m2").alias("public_green_m2")))
     return (shaped.select("area_code", "population").hint("merge").join(per_area, "area_code", "left")

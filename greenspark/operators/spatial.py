@@ -96,13 +96,21 @@ def overlap_join(left: DataFrame, right: DataFrame, left_edges: str, right_edges
 
 
 def within_distance_join(left: DataFrame, right: DataFrame, left_edges: str, right_edges: str,
-                         left_box: str, right_box: str, radius: float, out: str = "gap_m") -> DataFrame:
-    """Pairs of polygons at most ``radius`` apart, with their distance."""
+                         left_box: str, right_box: str, radius: float, out: str = "gap_m", exact: bool = True) -> DataFrame:
+    """Pairs of polygons at most ``radius`` apart, with their distance.
+
+    Without ``exact`` the distance of pairs whose boxes are apart and whose first corners are within the radius, so that they
+    belong, is given as that of their boxes (above zero, at most the true one); only the other pairs go through the kernel.
+    """
     grown = left.withColumn("_reach", grow(F.col(left_box), F.lit(float(radius))))
-    return (box_join(grown, right, "_reach", right_box).drop("_reach")
-            .where(G.box_distance(F.col(left_box), F.col(right_box)) <= radius)
-            .withColumn(out, K.gap(F.col(left_edges), F.col(right_edges)))
-            .where(F.col(out) <= radius))
+    near = (box_join(grown, right, "_reach", right_box).drop("_reach")
+            .withColumn("_apart", G.box_distance(F.col(left_box), F.col(right_box))).where(F.col("_apart") <= radius))
+    a, b = F.get(left_edges, F.lit(0)), F.get(right_edges, F.lit(0))
+    sure = F.lit(False) if exact else (F.col("_apart") > 0) & (F.hypot(a["x1"] - b["x1"], a["y1"] - b["y1"]) <= radius)
+    asked = near.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    gap = K.gap(*[F.when(~F.col("_sure"), F.col(edges)) for edges in (left_edges, right_edges)])
+    return (asked.withColumn(out, F.when(F.col("_sure"), F.col("_apart")).otherwise(gap))
+            .where(F.col(out) <= radius).drop("_apart", "_sure"))
 
 
 def point_join(pts: DataFrame, polygons: DataFrame, x: str, y: str, edges: str, box: str) -> DataFrame:

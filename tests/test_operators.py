@@ -131,3 +131,23 @@ def test_point_join_gives_the_same_rows_broadcast_and_shuffled(spark, monkeypatc
         assert sorted((r.p, r.a) for r in got.collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert ("SortMergeJoin" in plan) == (limit == 0)
+
+
+def test_sure_pairs_within_a_distance_skip_the_kernel(spark):
+    from greenspark.functions import geometry as G
+    from greenspark.operators import spatial
+
+    rng = random.Random(8)
+
+    def boxes(prefix, n):
+        rows = [(f"{prefix}{k}", *(float(rng.randint(0, 60)) for _ in range(2)), float(rng.randint(1, 9))) for k in range(n)]
+        df = spark.createDataFrame(rows, f"{prefix} string, x double, y double, w double")
+        shape = G.polygon([(F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y")), (F.col("x"), F.col("y") + F.col("w"))])
+        return spatial.with_shape(df.select(prefix, shape.alias("geom")), "geom", f"{prefix}_edges", f"{prefix}_box").drop("geom")
+
+    sides = boxes("a", 60), boxes("b", 60)
+    pairs = [{(r.a, r.b): r.gap_m for r in spatial.within_distance_join(*sides, "a_edges", "b_edges", "a_box", "b_box", 20.0, exact=exact)
+              .select("a", "b", "gap_m").collect()} for exact in (True, False)]
+    assert pairs[0].keys() == pairs[1].keys() and any(gap == 0 for gap in pairs[0].values())
+    assert all((gap == 0) == (pairs[1][pair] == 0) and pairs[1][pair] <= gap + 1e-9 for pair, gap in pairs[0].items())
+    assert any(pairs[1][pair] < gap - 0.1 for pair, gap in pairs[0].items())
