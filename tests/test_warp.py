@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import box_geom, ring_geom
+from greenspark.functions import crs
 from greenspark.functions import geometry as G
 from greenspark.operators import raster, spatial, warp, zonal
 from greenspark.operators.nearest import nearest
@@ -52,6 +53,22 @@ def test_mosaic_of_many_scenes(spark, monkeypatch):
     assert warp.mosaic(tiles.limit(0), (0.0, 1.0, 0.0, 1.0), 2).count() == 0
 
 
+def test_neighbouring_target_tiles_are_looked_up_together(spark, monkeypatch):
+    rnd = random.Random(7)
+    tiles = tiles_of(spark, {(r, c): rnd.random() for r in range(20) for c in range(30) if (r + c) % 7}, 8, (100.0, 0.0, 500000.0, 0.0, -100.0, 5600000.0))
+    grid, found = (1001875.0, 60.0, 6535000.0, -60.0), []
+    for pixels in (1, 12, 256):  # tile by tile, some together, all in one group
+        monkeypatch.setattr(warp, "GROUP_PIXELS", pixels)
+        found.append(pixels_of(warp.warp(tiles, 25832, 3857, grid, 4)))
+    assert len(found[0]) > 300 and found[1] == found[0] == found[2]
+
+
+def test_projections_evaluate_their_parts_once(spark):
+    for source, target in ((3857, 25832), (25832, 3857), (27700, 25832)):
+        there = spark.range(1).select(crs.transform_pair(F.col("id") + 1.0, F.col("id") + 2.0, source, target))
+        assert there._jdf.queryExecution().analyzed().toString().lower().count("atanh(") < 15
+
+
 def test_scan_lines_equal_the_point_test():
     rnd = random.Random(5)
     for _ in range(200):
